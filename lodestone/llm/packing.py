@@ -8,7 +8,8 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,65 +35,77 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+@cache
+def token_bytes(tokenizer: str) -> Callable[[str], bytes]:
+    """A function from a text to its ids, as little-endian unsigned 32-bit numbers; one for all tasks of a worker.
+
+    The tokenizer drops white space and joins nothing across it, so a text is split at blanks and line ends, and the
+    ids of chunks and of the words inside plain chunks are kept in bounded dictionaries. Whatever isn't in them goes to
+    the tokenizer.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer)
+    specials = [x.content for x in model.get_added_tokens_decoder().values()]
+    chunks_known: dict[str, bytes] = {}
+    words_known: dict[str, bytes] = {}
+    split, plain, words_of = re.compile("[ \n]+").split, re.compile(PLAIN).fullmatch, regex.compile(WORDS).findall
+
+    def as_bytes(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(words: list[str]) -> None:
+        """The ids of words that the tokenizer doesn't split, from one call for all."""
+        found = model.encode(" ".join(words), add_special_tokens=False)
+        parts: list[list[int]] = [[] for _ in words]
+        for i, k in zip(found.ids, found.word_ids):
+            parts[k].append(i)
+        for word, part in zip(words, parts):
+            words_known[word] = as_bytes(part)
+
+    def look_up(unseen: list[str]) -> dict[str, bytes]:
+        simple = {c: words_of(c.lower()) for c in unseen if plain(c) and not any(s in c for s in specials)}
+        if len(words_known) > CACHE:
+            words_known.clear()
+        if new := list({w for ws in simple.values() for w in ws if w not in words_known}):
+            learn(new)
+        found = {c: b"".join(map(words_known.__getitem__, ws)) for c, ws in simple.items()}
+        if rest := [c for c in unseen if c not in simple]:
+            found |= {c: as_bytes(e.ids) for c, e in zip(rest, model.encode_batch_fast(rest, add_special_tokens=False))}
+        return found
+
+    def ids_of(text: str) -> bytes:
+        chunks = split(text) if text else []
+        if len(chunks_known) > CACHE:
+            chunks_known.clear()
+        long: dict[str, bytes] = {}
+        if unseen := [c for c in set(chunks) if c not in chunks_known]:
+            for c, ids in look_up(unseen).items():
+                (chunks_known if len(c) <= CACHE_CHARS else long)[c] = ids
+        return b"".join([long[c] if c in long else chunks_known[c] for c in chunks] if long else map(chunks_known.__getitem__, chunks))
+
+    return ids_of
+
+
 def pieces(documents: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32.
 
     A document's ids are the tokenizer's for its text (null: empty), without special tokens, then ``end_id``; thus an
     empty text makes one piece of one token. The crc is over the ids as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and joins nothing across it, so a text is split at blanks and line ends, and the
-    ids of chunks and of the words inside plain chunks are kept in bounded dictionaries of the worker; whatever isn't
-    in them goes to the tokenizer. Repeated rows are packed as often as they occur; columns beside doc_id and text are
-    ignored.
+    Repeated rows are packed as often as they occur; columns beside doc_id and text are ignored.
     """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        specials = [x.content for x in model.get_added_tokens_decoder().values()]
-        chunks_known: dict[str, bytes] = {}
-        words_known: dict[str, bytes] = {}
+        ids_of = token_bytes(tokenizer)
         tail = end_id.to_bytes(4, "little")
         width = 4 * capacity
-        split, plain, words_of = re.compile("[ \n]+").split, re.compile(PLAIN).fullmatch, regex.compile(WORDS).findall
-
-        def as_bytes(ids: list[int]) -> bytes:
-            return struct.pack(f"<{len(ids)}I", *ids)
-
-        def learn(words: list[str]) -> None:
-            """The ids of words that the tokenizer doesn't split, from one call for all."""
-            found = model.encode(" ".join(words), add_special_tokens=False)
-            parts: list[list[int]] = [[] for _ in words]
-            for i, k in zip(found.ids, found.word_ids):
-                parts[k].append(i)
-            for word, part in zip(words, parts):
-                words_known[word] = as_bytes(part)
-
-        def look_up(unseen: list[str]) -> dict[str, bytes]:
-            simple = {c: words_of(c.lower()) for c in unseen if plain(c) and not any(s in c for s in specials)}
-            if len(words_known) > CACHE:
-                words_known.clear()
-            if new := list({w for ws in simple.values() for w in ws if w not in words_known}):
-                learn(new)
-            found = {c: b"".join(map(words_known.__getitem__, ws)) for c, ws in simple.items()}
-            if rest := [c for c in unseen if c not in simple]:
-                found |= {c: as_bytes(e.ids) for c, e in zip(rest, model.encode_batch_fast(rest, add_special_tokens=False))}
-            return found
-
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-                chunks = split(text) if text else []
-                if len(chunks_known) > CACHE:
-                    chunks_known.clear()
-                long: dict[str, bytes] = {}
-                if unseen := [c for c in set(chunks) if c not in chunks_known]:
-                    for c, ids in look_up(unseen).items():
-                        (chunks_known if len(c) <= CACHE_CHARS else long)[c] = ids
-                ids = b"".join([long[c] if c in long else chunks_known[c] for c in chunks] if long else map(chunks_known.__getitem__, chunks)) + tail
+                ids = ids_of(text or "") + tail
                 for k in range(0, len(ids), width):
                     part = ids[k : k + width]
                     rows.append((doc_id, k // width, k // 4, len(part) // 4, zlib.crc32(part)))

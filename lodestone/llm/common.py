@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Spark's own name for the folder that the driver and all executors share.
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+#: Drops an execution's shuffle files at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Word of the near-duplicate contracts: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,7 +46,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: its lineage is cut and no executor owns it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")  # what is written needs its shuffle files no longer
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,9 +35,9 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text (UTF-8; A-Z in lower case; words end at ASCII white space)."""
-    a = np.frombuffer(text.lower(), np.uint8)
+def word_hashes(text: bytes, fold: bool = True) -> np.ndarray:
+    """64-bit hashes of the words of a text (UTF-8; words end at ASCII white space; ``fold``: A-Z in lower case)."""
+    a = np.frombuffer(text.lower() if fold else text, np.uint8)
     if not len(a):
         return np.zeros(0, np.uint64)
     space = _SPACE[a]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dedup, packing, pii, quality
+from . import bpe, chat, line_dedup, near_dedup, packing, pii, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_warc_index_and_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_warc(table(spark, sf_dir, "pages"))
+    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_byte_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its count of lines, of those dropped, and the digest of the text that stays."""
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -31,6 +40,10 @@ def op6_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -50,10 +63,16 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_warc_index_and_ranges": op3_warc_index_and_ranges,
+    "op4_byte_bpe_transducer": op4_byte_bpe_transducer,
     "op5_fuzzy_line_dedup": op5_fuzzy_line_dedup,
     "op6_robust_quality_rules": op6_robust_quality_rules,
+    "op8_chat_snapshot_collapse": op8_chat_snapshot_collapse,
     "op9_bootstrapped_pii": op9_bootstrapped_pii,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_index_and_ranges": warc.SQL,
+    "op8_chat_snapshot_collapse": chat.SQL,
+}

@@ -16,8 +16,8 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 #: Drops an execution's shuffle files at its end.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Word of the near-duplicate contracts: anything between ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+#: Up to this many ids are broadcast (about 20 MB).
+BROADCAST_IDS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,6 +64,11 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """``ids``, marked for broadcast if they are few enough; else they are joined by a shuffle."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Distributed union-find over the pairs ``(a, b)``.
 
@@ -75,21 +80,26 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Returns ``(id, component)`` for each id that occurs in a link, ``component`` the smallest id reachable.
     Loops and nulls are ignored; without links the result is empty.
     """
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    edges = materialise(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    while True:
-        # Large star: every neighbour above u gets u's smallest neighbour (or u) as its parent.
+    edges = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
+    edges, seen = materialise(edges, "edges"), None
+    while (sums := _fingerprint(edges)) != seen:
+        seen = sums
+        # Large star: all that is larger than u hangs below the smallest of u and its neighbours.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
-        # Small star: of all parents of v the smallest stays; the others hang below it.
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v")
+        # Small star: of all parents of v the smallest stays, and the others hang below it too.
         parent = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(parent, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        pairs = F.array(F.struct("m", F.col("v").alias("w")), F.struct("m", F.col("u").alias("w")))
+        small = large.join(parent, "v").select(F.explode(pairs).alias("e")).select(F.col("e.m").alias("u"), F.col("e.w").alias("v")).where("u <> v").distinct()
         after = materialise(small, "edges")
-        changed = after.join(edges, ["u", "v"], "left_anti").limit(1).count() or edges.join(after, ["u", "v"], "left_anti").limit(1).count()
         discard(edges)
         edges = after
-        if not changed:
-            break
     roots = edges.select("u").distinct()
     return edges.select(F.col("v").alias("id"), F.col("u").alias("component")).unionByName(roots.select(F.col("u").alias("id"), F.col("u").alias("component")))
+
+
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Count and two sums over hashes of the edges: equal sets have equal ones."""
+    half = lambda seed: F.sum(F.shiftright(F.xxhash64("u", "v", F.lit(seed)), 20))
+    return tuple(edges.agg(F.count("*"), half(1), half(2)).first())

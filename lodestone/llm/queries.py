@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, near_dedup, packing, pii, quality, warc
+from . import bpe, chat, fingerprints, line_dedup, near_dedup, packing, pii, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_canonical_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.resolved(documents, fingerprints.compare_with_edits(documents))
+
+
 def op3_warc_index_and_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_warc(table(spark, sf_dir, "pages"))
     return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -63,6 +68,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_canonical_fingerprints": op2_canonical_fingerprints,
     "op3_warc_index_and_ranges": op3_warc_index_and_ranges,
     "op4_byte_bpe_transducer": op4_byte_bpe_transducer,
     "op5_fuzzy_line_dedup": op5_fuzzy_line_dedup,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, line_dedup, near_dedup, packing, pii, quality, warc
+from . import bpe, chat, fingerprints, line_dedup, near_dedup, packing, pii, quality, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,12 +49,23 @@ def op8_chat_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(table(spark, sf_dir, "conversations"))
 
 
-def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def listed(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
 
-    def listed(spans: Column) -> Column:
-        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+def op7_grammar_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != secrets.FOUND)
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
+    return found.select("doc_id", *map(number, secrets.KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])
     def number(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
@@ -73,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op4_byte_bpe_transducer": op4_byte_bpe_transducer,
     "op5_fuzzy_line_dedup": op5_fuzzy_line_dedup,
     "op6_robust_quality_rules": op6_robust_quality_rules,
+    "op7_grammar_secret_scan": op7_grammar_secret_scan,
     "op8_chat_snapshot_collapse": op8_chat_snapshot_collapse,
     "op9_bootstrapped_pii": op9_bootstrapped_pii,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,

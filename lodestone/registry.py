@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import relational
+from .plans import ordered, relational
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (relational,):
+for _module in (relational, ordered):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

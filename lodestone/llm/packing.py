@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ BLOCK = 4096
 FAN_IN = 16
 #: Sequences with more free tokens than this are opened again at the next level.
 SLACK = 16
+#: Most steps of the local search in a block, and bins that it tries to empty before it gives up.
+SEARCH_STEPS, SOURCES = 200, 8
 #: Chunks and words of which a worker remembers the ids, and the longest chunk that it remembers.
 CACHE, CACHE_CHARS = 500_000, 64
 #: Characters that normalisation leaves alone but for lower case, the same in Python and in the tokenizer.
@@ -119,7 +122,7 @@ def pieces(documents: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
 def pack_block(lengths: list[int], capacity: int = CAPACITY) -> list[int]:
     """The bin of each item: best fit in descending order of length, then local search.
 
-    The search takes the emptiest bins and tries to empty them: each of their items moves to the fullest bin with room,
+    The search, of at most ``SEARCH_STEPS`` steps, takes the emptiest bins and tries to empty them: each of their items moves to the fullest bin with room,
     or is exchanged for a shorter item, or for two whose sum is shorter, of a bin that the exchange makes fuller. Every
     step raises the sum of squared fills, so it ends; it also ends when the count of bins reaches the lower bound.
     """
@@ -140,57 +143,68 @@ def pack_block(lengths: list[int], capacity: int = CAPACITY) -> list[int]:
         if room[b]:
             bisect.insort(free, (room[b], b))
 
-    def put(i: int, source: int, target: int) -> None:
+    of = [0] * len(lengths)
+    for b, members in enumerate(items):
+        for i in members:
+            of[i] = b
+    size, where, space = np.array(lengths), np.array(of), np.array(room)
+
+    def put(i: int, target: int) -> None:
+        source = int(where[i])
         items[source].remove(i)
         items[target].append(i)
-        room[source] += lengths[i]
-        room[target] -= lengths[i]
+        space[source] += lengths[i]
+        space[target] -= lengths[i]
+        where[i] = target
 
-    def step(source: int, others: list[int]) -> bool:
+    def step(source: int) -> bool:
+        """One move or exchange that takes tokens out of ``source`` and makes a fuller bin fuller still."""
+        others = np.flatnonzero((space > 0) & (space < space[source]) & filled)
+        for i in sorted(items[source], key=lambda i: -lengths[i]):
+            n = lengths[i]
+            fitting = others[space[others] >= n]
+            if len(fitting):
+                put(i, int(fitting[np.argmin(space[fitting])]))
+                return True
+            rooms = space[where]
+            shorter = np.flatnonzero((size < n) & (size + rooms >= n) & (rooms < space[source]))
+            if len(shorter):
+                j = int(shorter[np.argmin(size[shorter])])
+                b = int(where[j])
+                put(j, source)
+                put(i, b)
+                return True
         for i in sorted(items[source], key=lambda i: -lengths[i]):
             n = lengths[i]
-            for b in others:
-                if b != source and items[b] and room[b] >= n and room[b] <= room[source] + n:
-                    put(i, source, b)
-                    return True
-            for b in others:
-                if b == source or not items[b] or not room[b] or room[b] >= room[source]:
-                    continue
-                fitting = [j for j in items[b] if lengths[j] < n <= lengths[j] + room[b]]
-                if fitting:
-                    j = min(fitting, key=lambda j: lengths[j])
-                    put(i, source, b)
-                    put(j, b, source)
-                    return True
+            for b in map(int, others):
                 by_length = sorted(items[b], key=lambda j: lengths[j])
                 low, high = 0, len(by_length) - 1
                 while low < high:
                     both = lengths[by_length[low]] + lengths[by_length[high]]
                     if both >= n:
                         high -= 1
-                    elif both + room[b] < n:
+                    elif both + space[b] < n:
                         low += 1
                     else:
-                        j, k = by_length[low], by_length[high]
-                        put(i, source, b)
-                        put(j, b, source)
-                        put(k, b, source)
+                        put(by_length[low], source)
+                        put(by_length[high], source)
+                        put(i, b)
                         return True
         return False
 
     least = math.ceil(sum(lengths) / capacity)
-    used = sum(1 for x in items if x)
-    while used > least:
-        others = sorted((b for b in range(len(items)) if items[b] and room[b]), key=lambda b: room[b])
-        for source in reversed(others):
-            moved = False
-            while items[source] and step(source, others):
-                moved = True
-            if not items[source] or moved:
+    steps = 0
+    filled = np.array([bool(x) for x in items])
+    while int(filled.sum()) > least and steps < SEARCH_STEPS:
+        for source in sorted(np.flatnonzero(filled & (space > 0)).tolist(), key=lambda b: -space[b])[:SOURCES]:
+            before = steps
+            while items[source] and steps < SEARCH_STEPS and step(source):
+                steps += 1
+            filled[source] = bool(items[source])
+            if not items[source] or steps > before:
                 break
         else:
             break
-        used = sum(1 for x in items if x)
     place = [0] * len(lengths)
     for b, members in enumerate(x for x in items if x):
         for i in members:

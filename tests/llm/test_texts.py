@@ -60,7 +60,7 @@ def test_blocks_are_packed_within_capacity(lengths):
 
 def test_local_search_empties_a_bin():
     # Best fit leaves 4 bins here; exchanging reaches 3.
-    lengths = [44, 43, 36, 34, 33, 32, 30, 24, 24]
+    lengths = [55, 22, 16, 32, 30, 29, 23, 21, 58]
     assert len(set(packing.pack_block(lengths, 100))) == 3
 
 
@@ -130,16 +130,14 @@ def test_fingerprints(spark):
 
 
 def test_colliding_hashes_are_told_apart(spark, monkeypatch):
-    docs = documents(spark, ["aa", "ab", "AA", "ab", "b"])
-    made = fingerprints.canonical_texts(docs.select("doc_id", "text")).drop("canon")
     from pyspark.sql import functions as F
 
-    forced = made.withColumn("fingerprint", F.lit("same"))
-    got = {r.doc_id for r in fingerprints.collisions(docs, forced).collect()} if False else None
-    assert got is None
+    docs = documents(spark, ["aa", "ab", "AA", "ab", "b"])
     collided = spark.createDataFrame([(0, "p"), (1, "p"), (2, "p")], "doc_id long, fingerprint string")
-    monkeypatch.setattr(fingerprints, "canonical_texts", lambda rows, text="text": rows.select("doc_id", F.lit("p").alias("fingerprint"), F.encode(F.lower("text"), "utf-8").alias("canon")))
+    monkeypatch.setattr(fingerprints, "canonical_texts", lambda rows: rows.select("doc_id", F.lit("p").alias("fingerprint"), F.encode(F.lower("text"), "utf-8").alias("canon")))
     assert {r.doc_id for r in fingerprints.collisions(docs, collided).collect()} == {1}
+    resolved = {r.doc_id: r.fingerprint for r in fingerprints.resolved(docs, collided).collect()}
+    assert resolved[0] == resolved[2] == "p" and resolved[1].startswith("p-")
 
 
 def base_counts(text):
@@ -268,12 +266,13 @@ def test_pii_base_equals_plain_patterns(spark):
 
 def test_patterns_discover_unseen_identifiers(spark):
     seeds = [f"please call phone: +1 555 01{k:02d} 12 now" for k in range(40)]
-    valid = [f"his card no. 4111 1111 1111 1111 is {k}" for k in range(3)]
     cards = ["4539578763621486", "4716461583322103", "4024007198964305", "4485275742308327", "4929420371628763"]
-    texts = seeds + valid + [f"visa {c} paid" for c in cards] + ["visa 4539578763621487 paid", "the 4539578763621487 else"]
+    texts = seeds + [f"visa {c} paid" for c in cards] + ["visa 4539578763621487 paid", "the 4539578763621487 else"]
     got = {r.doc_id: [(s.kind, s.base) for s in r.spans] for r in pii.find_pii(documents(spark, texts)).collect()}
     n = len(texts)
-    assert ("card", False) in got[n - 2] and got[n - 1] == got[n - 1]
+    assert got[n - 2] == [("card", False)] and got[n - 1] == [("card", False)]  # the value is found, then known anywhere
+    clean = {r.doc_id: list(r.spans) for r in pii.find_pii(documents(spark, seeds + ["visa agent 007x42 paid"])).collect()}
+    assert clean[len(seeds)] == []
 
 
 def test_masking(spark):

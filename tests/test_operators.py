@@ -112,3 +112,50 @@ def test_missing_properties_pass_and_examples_are_bounded(spark):
     assert got["text.fontFamily"].passed and got["text.fontFamily"].n_evaluated == 8
     assert got["text.firstLineIndent"].bad_count == 8 and got["text.firstLineIndent"].examples == [0, 1, 2, 3, 4]
     assert got["headings.numbering"].passed and got["headings.numbering"].n_evaluated == 0
+
+
+def test_chunks_cut_where_the_boundary_scores_best(spark):
+    from lodestone.operators import procedural
+
+    kinds = ["body"] * 150
+    kinds[40], kinds[100] = "heading_1", "heading_2"
+    df = spark.createDataFrame([(1, i, k) for i, k in enumerate(kinds)], "doc_id long, idx int, type string")
+    got = {r.idx: r.chunk for r in procedural.chunks(df).collect()}
+    starts = [i for i in range(150) if i == 0 or got[i] != got[i - 1]]
+    assert starts == [0, 40, 100]
+
+
+def test_greedy_matches_use_a_line_once(spark):
+    from lodestone.operators import procedural
+
+    schema = "doc_id long, idx int, text string"
+    anchors = spark.createDataFrame([(1, 0, "ab"), (1, 1, "ab"), (1, 2, "ab"), (2, 0, "x")], schema)
+    lines = spark.createDataFrame([(1, 5, "xab"), (1, 3, "abx"), (3, 0, "x")], schema)
+    assert {tuple(r) for r in procedural.greedy_matches(anchors, lines).collect()} == {(1, 0, 3), (1, 1, 5), (1, 2, None), (2, 0, None)}
+
+
+def test_byte_chunks_fit_and_join(spark):
+    from lodestone.operators import procedural
+
+    text = "ñandú " * 50 + "x" * 120 + "\nend"
+    rows = procedural.byte_chunks(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), 64).orderBy("doc_id", "part").collect()
+    assert all(len(r.text.encode()) <= 64 for r in rows)
+    assert "".join(r.text for r in rows if r.doc_id == 1).replace(" ", "").replace("\n", "") == text.replace(" ", "").replace("\n", "")
+
+
+def test_inheritance_ends_on_cycles(spark):
+    from lodestone.operators import procedural
+
+    rows = [("a", None, "v"), ("b", "a", None), ("c", "b", None), ("d", "e", None), ("e", "d", None), ("f", "c", "own")]
+    got = dict(map(tuple, procedural.inherited(spark.createDataFrame(rows, "name string, parent string, value string")).collect()))
+    assert got == {"a": "v", "b": "v", "c": "v", "d": None, "e": None, "f": "own"}
+
+
+def test_tokens_are_keyed_hashes(spark):
+    import hashlib
+    import hmac
+
+    from lodestone.operators import procedural
+
+    df = procedural.signed_tokens(spark.createDataFrame([("u", "t")], "a string, b string"), ["a", "b"], b"k")
+    assert df.first().token == hmac.new(b"k", b"u:t", hashlib.sha256).hexdigest()

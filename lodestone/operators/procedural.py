@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -96,3 +97,59 @@ def inherited(styles: DataFrame, depth: int = 12) -> DataFrame:
         current = current.join(up, "parent", "left").select("name", F.when(F.col("value").isNull(), F.col("grand")).alias("parent"), F.coalesce("value", "up_value").alias("value"))
         steps *= 2
     return current.select("name", "value")
+
+
+#: Syllables that pseudonyms are made of.
+SYLLABLES = ("lo", "rem", "ip", "sum", "do", "lor", "sit", "am", "et", "con")
+
+
+def pseudonym(word: str) -> str:
+    """A word of equal length and case shape, the same for the same word: syllables chosen by a rolling hash."""
+    h = 0
+    for c in word.lower():
+        h = (h * 31 + ord(c)) & 0xFFFFFFFF
+    made = ""
+    while len(made) < len(word):
+        made += SYLLABLES[h % len(SYLLABLES)]
+        h = (h * 1103515245 + 12345) & 0x7FFFFFFF
+    made = made[: len(word)]
+    return made.upper() if word.isupper() else made.capitalize() if word[:1].isupper() else made
+
+
+def pseudonyms(documents: DataFrame) -> DataFrame:
+    """doc_id and text with every word of four letters or more replaced."""
+    @F.pandas_udf("string")
+    def replace(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: t if t is None else re.sub(r"[^\W\d_]{4,}", lambda m: pseudonym(m.group()), t))
+
+    return documents.select("doc_id", replace("text").alias("text"))
+
+
+def spread(runs: list[str], fixed: str) -> list[str]:
+    """An edited text over the runs of the original: what both begin and end with stays in its run, the rest goes to
+    the run where they begin to differ."""
+    original = "".join(runs)
+    head = 0
+    while head < min(len(original), len(fixed)) and original[head] == fixed[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(original), len(fixed)) - head and original[-1 - tail] == fixed[-1 - tail]:
+        tail += 1
+    middle, out, at, placed = fixed[head : len(fixed) - tail], [], 0, False
+    for k, run in enumerate(runs):
+        end = at + len(run)
+        before, after = run[: max(0, min(len(run), head - at))], run[max(0, min(len(run), len(original) - tail - at)) :]
+        here = not placed and (head < end or k == len(runs) - 1)
+        out.append(before + (middle if here else "") + (after if end > head else ""))
+        placed, at = placed or here, end
+    return out
+
+
+def redistribute(edits: DataFrame) -> DataFrame:
+    """``edits`` (doc_id, runs, fixed) with the fixed text spread over the runs."""
+
+    @F.pandas_udf("array<string>")
+    def run(runs: pd.Series, fixed: pd.Series) -> pd.Series:
+        return pd.Series([spread(list(r), f) for r, f in zip(runs, fixed)])
+
+    return edits.select("doc_id", run("runs", "fixed").alias("runs"))

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import more, ordered, quality, relational, state, text
+from .plans import more, ordered, quality, relational, repairs, state, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (relational, ordered, text, state, quality, more):
+for _module in (relational, ordered, text, state, quality, more, repairs):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -159,3 +159,19 @@ def test_tokens_are_keyed_hashes(spark):
 
     df = procedural.signed_tokens(spark.createDataFrame([("u", "t")], "a string, b string"), ["a", "b"], b"k")
     assert df.first().token == hmac.new(b"k", b"u:t", hashlib.sha256).hexdigest()
+
+
+def test_edits_spread_over_runs():
+    from lodestone.operators.procedural import spread
+
+    assert spread(["ab", "cd", "ef"], "abXXcdef") == ["ab", "XXcd", "ef"]
+    for runs, fixed in ((["ab", "cd"], "abcd"), (["a", "b"], ""), (["aa", "aa"], "aaa"), (["x", "", "y"], "xzy"), (["ab"], "abab")):
+        assert "".join(spread(runs, fixed)) == fixed
+
+
+def test_pseudonyms_keep_length_and_case():
+    from lodestone.operators.procedural import pseudonym
+
+    for word in ("Berlin", "HOUSE", "reading"):
+        made = pseudonym(word)
+        assert len(made) == len(word) and made.isupper() == word.isupper() and made[0].isupper() == word[0].isupper() and made == pseudonym(word)

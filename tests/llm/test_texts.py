@@ -221,6 +221,19 @@ def test_inference_merges_states():
     assert model.score("123456789012") > model.score("abcdefghijkl") + 20
 
 
+def test_secrets_are_judged_over_all_characters(spark):
+    rng = random.Random(10)
+    run = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    labelled = [f"secret: {run(mixed, 80)}" for _ in range(60)]
+    plain = [run("etaoinshr", 90) for _ in range(60)]
+    late, early = run("etaoinshr", 64) + run(mixed, 300), run(mixed, 64) + run("etaoinshr", 1500)
+    texts = [*labelled, *plain, f"lying here {late} alone", f"lying here {early} alone"]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.find_secrets(documents(spark, texts)).collect()}
+    assert [got[len(texts) - 2], got[len(texts) - 1]] == [[secrets.FOUND], []]
+    assert not any(got[len(labelled) + i] for i in range(len(plain)))
+
+
 PII_KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

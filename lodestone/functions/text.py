@@ -23,25 +23,59 @@ def strip_leading(x: Column) -> Column:
     return F.regexp_replace(x, r"^[ \t]+", "")
 
 
-def expand(x: Column, words: Mapping[str, str]) -> Column:
-    """Abbreviations, as whole words in either case, by their long forms."""
+#: Abbreviations and their long forms, in the order in which they are expanded (fixed values).
+ABBREVIATIONS = {
+    "т.д.": "так далее",
+    "т.п.": "тому подобное",
+    "т.е.": "то есть",
+    "т.к.": "так как",
+    "т.н.": "так называемый",
+    "т.о.": "таким образом",
+    "т.с.": "так сказать",
+    "т.ч.": "так что",
+    "г.о.": "главным образом",
+    "д.б.": "должно быть",
+    "м.б.": "может быть",
+    "и др.": "и другие",
+}
+#: Units that a number isn't parted from, as alternatives of a pattern, in their order (fixed values).
+UNITS = r"мм|см|дм|км|кг|мг|мл|мин|кВт|Вт|Гц|Па|МПа|дБ|об/мин|м|г|л|с|ч|т|А|В|К|%|p\.|pp\.|pages?|с\.|стр\."
+
+
+def abbreviation(short: str) -> str:
+    """Pattern of an abbreviation, with or without a blank after its inner dots."""
+    plain = short.replace(".", r"\.")
+    inner = "".join(". " if c == "." and k + 1 < len(short) else c for k, c in enumerate(short)).replace(".", r"\.")
+    return f"(?:{inner}|{plain})"
+
+
+def expand_abbreviations(x: Column, words: Mapping[str, str] = ABBREVIATIONS) -> Column:
     for short, long in words.items():
-        x = F.regexp_replace(x, rf"(?iu)(?<![\p{{L}}\p{{N}}]){short}(?![\p{{L}}\p{{N}}])", long)
+        x = F.regexp_replace(x, "(?iu)" + abbreviation(short), long)
     return x
 
 
-def nbsp_before_units(x: Column, units: str) -> Column:
+def nbsp_before_units(x: Column, units: str = UNITS) -> Column:
     """A no-break space between a number and one of the units (alternatives of a pattern)."""
-    return F.regexp_replace(x, rf"([0-9]) ({units})(?![\p{{L}}])", f"$1{NBSP}$2")
+    return F.regexp_replace(x, rf"(?iu)([0-9])\s+({units})(?=[\s.,;:!?\-)}}\]]|\z)", f"$1{NBSP}$2")
+
+
+def nbsp_after_initials(x: Column) -> Column:
+    """No-break spaces between initials, and between them and the surname, in both alphabets."""
+    for big, small in (("А-ЯЁ", "а-яё"), ("A-Z", "a-z")):
+        x = F.regexp_replace(x, rf"([{big}])\.\s+([{big}])\.", f"$1.{NBSP}$2.")
+        x = F.regexp_replace(x, rf"([{big}])\.\s+([{big}][{small}]+)", f"$1.{NBSP}$2")
+    return x
 
 
 def quotes_and_dashes(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(x, '"([^"\n]*)"', "«$1»"), "—", "–")
+    return F.regexp_replace(F.regexp_replace(x, '"([^"]+)"', "«$1»"), "—", "–")
 
 
 def repair(x: Column) -> Column:
-    """All fixes in their fixed order."""
-    return fix_double_dots(collapse_spaces(strip_leading(quotes_and_dashes(x))))
+    """All fixes of a paragraph in their fixed order."""
+    x = fix_double_dots(collapse_spaces(strip_leading(x)))
+    return quotes_and_dashes(nbsp_after_initials(nbsp_before_units(expand_abbreviations(x))))
 
 
 def encode_entities(x: Column) -> Column:

@@ -108,18 +108,6 @@ def u5_union_of_violations(t: Tables) -> DataFrame:
     return typed(t).select("doc_id", "idx", F.explode(F.array_compact(rules)).alias("rule"))
 
 
-@pquery("SELECT doc_id, idx, coalesce(CASE WHEN idx % 2 = 0 THEN nullif(type, '') END, CASE WHEN length(text) > 200 THEN 'body' ELSE 'short' END) AS label FROM p")
-def u6_c1_c2_rules_then_fallback(t: Tables) -> DataFrame:
-    by_rule = F.when(F.col("idx") % 2 == 0, F.nullif(F.col("type"), F.lit("")))
-    return typed(t).select("doc_id", "idx", F.coalesce(by_rule, F.when(F.length("text") > 200, "body").otherwise("short")).alias("label"))
-
-
-@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'click' WHEN 'error' THEN 'failure' ELSE event_type END AS label FROM events")
-def c3_label_repair(t: Tables) -> DataFrame:
-    repair = F.create_map(F.lit("view"), F.lit("click"), F.lit("error"), F.lit("failure"))
-    return t.events.select("event_id", F.coalesce(F.try_element_at(repair, F.col("event_type")), F.col("event_type")).alias("label"))
-
-
 @pquery("SELECT doc_id, count(*) FILTER (type = 'heading_1') AS h1, CASE WHEN count(*) FILTER (type = 'heading_1') >= 3 AND count(*) FILTER (type = 'heading_2') > 0 THEN 'preserve' WHEN count(*) FILTER (type LIKE 'heading%') > 0 THEN 'heuristic' ELSE 'full' END AS route, CASE WHEN count(*) FILTER (type = 'heading_1') >= 3 AND count(*) FILTER (type = 'heading_2') > 0 THEN 1.0 WHEN count(*) FILTER (type LIKE 'heading%') > 0 THEN 0.5 ELSE 0.3 END::DOUBLE AS confidence FROM p GROUP BY 1")
 def c5_structure_route(t: Tables) -> DataFrame:
     kind = F.col("type")

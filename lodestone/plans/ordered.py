@@ -33,21 +33,6 @@ def typed(t: Tables) -> DataFrame:
 
 
 
-@query("SELECT doc_id, idx, CASE WHEN type = 'body' AND bib THEN 'bibliography_entry' WHEN type = 'list' AND prev = 'caption' THEN 'body' ELSE type END AS fixed FROM (SELECT *, coalesce(last_value(CASE WHEN type = 'bibliography_title' THEN true WHEN type = 'heading_1' THEN false END IGNORE NULLS) OVER w, false) AS bib, lag(type) OVER (PARTITION BY doc_id ORDER BY idx) AS prev FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING))")
-def n3_sequence_rules(t: Tables) -> DataFrame:
-    kind = F.col("type")
-    p = typed(t).withColumn("bib", op.carried(kind == "bibliography_title", kind == "heading_1", op.so_far())).withColumn("prev", F.lag("type").over(op.within()))
-    fixed = F.when((kind == "body") & F.col("bib"), "bibliography_entry").when((kind == "list") & (F.col("prev") == "caption"), "body").otherwise(kind)
-    return p.select("doc_id", "idx", fixed.alias("fixed"))
-
-
-@query("SELECT doc_id, idx, CASE WHEN length(text) > 400 AND type LIKE 'heading%' THEN 'body' WHEN text = '' THEN 'empty' WHEN type = '' THEN 'unknown' ELSE type END AS fixed FROM p")
-def n4_pointwise_rules(t: Tables) -> DataFrame:
-    kind = F.col("type")
-    fixed = F.when((F.length("text") > 400) & kind.startswith("heading"), "body").when(F.col("text") == "", "empty").when(kind == "", "unknown").otherwise(kind)
-    return typed(t).select("doc_id", "idx", fixed.alias("fixed"))
-
-
 @query("SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS place, count(*) OVER (PARTITION BY doc_id) AS candidates FROM (SELECT *, min(CASE WHEN type IN ('heading_1', 'bibliography_title') THEN idx END) OVER (PARTITION BY doc_id) AS first FROM p) WHERE idx < coalesce(first, 10) AND idx < 10")
 def n5_title_page(t: Tables) -> DataFrame:
     first = F.min(F.when(F.col("type").isin("heading_1", "bibliography_title"), F.col("idx"))).over(op.whole())

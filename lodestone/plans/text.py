@@ -43,28 +43,12 @@ def t3_strip_leading(t: Tables) -> DataFrame:
     return defective(t).select("doc_id", F.md5(fx.strip_leading(F.col("text"))).alias("fixed"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(' ' || replace(text, ' ', '  ') || ' ', '([^a-zA-Z0-9À-ÿ])(?i:la)([^a-zA-Z0-9À-ÿ])', '\1LA-LONG\2', 'g'), '([^a-zA-Z0-9À-ÿ])(?i:der)([^a-zA-Z0-9À-ÿ])', '\1DER-LONG\2', 'g')) AS expanded FROM documents")
-def t4_abbreviations(t: Tables) -> DataFrame:
-    spaced = F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  ")), F.lit(" "))
-    return t.documents.select("doc_id", F.md5(fx.expand(spaced, {"la": "LA-LONG", "der": "DER-LONG"})).alias("expanded"))
-
-
-@query(r"SELECT doc_id, md5(regexp_replace(replace(text, ' of ', ' 12 kg '), '([0-9]) (kg)([^a-zA-ZÀ-ÿ])', '\1' || chr(160) || '\2\3', 'g')) AS fixed FROM documents")
-def t5_nbsp_units(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(fx.nbsp_before_units(F.replace("text", F.lit(" of "), F.lit(" 12 kg ")), "kg")).alias("fixed"))
-
-
 @query("""SELECT doc_id, md5(replace(regexp_replace(replace(replace(text, ' the ', ' "the" '), ', ', ' — '), '"([^"' || chr(10) || ']*)"', '«\\1»', 'g'), '—', '–')) AS fixed FROM documents""")
 def t6_quotes_dashes(t: Tables) -> DataFrame:
     quoted = F.replace(F.replace("text", F.lit(" the "), F.lit(' "the" ')), F.lit(", "), F.lit(" — "))
     return t.documents.select("doc_id", F.md5(fx.quotes_and_dashes(quoted)).alias("fixed"))
 
 
-@query(_DEFECTIVE + r"SELECT doc_id, md5(regexp_replace(regexp_replace(ltrim(replace(text, '—', '–'), ' ' || chr(9)), ' {2,}', ' ', 'g'), '(^|[^.])\.\.([^.]|$)', '\1.\2', 'g')) AS fixed FROM d WHERE NOT contains(text, chr(34))")
-def t7_repair_pipeline(t: Tables) -> DataFrame:
-    return defective(t).where(~F.contains("text", F.lit('"'))).select("doc_id", F.md5(fx.repair(F.col("text"))).alias("fixed"))
-
-
 @query("SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS encoded, true AS round_trip FROM pages")
 def t14_entities(t: Tables) -> DataFrame:
     encoded = fx.encode_entities(F.col("html"))

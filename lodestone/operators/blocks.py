@@ -145,3 +145,9 @@ def validated_one_by_one(blocks: DataFrame, words: Words = Words()) -> DataFrame
     fixed = F.when(entry, kind).otherwise(F.coalesce(*[F.when(holds, to) for holds, to in reversed(rules)], kind))
     language = F.when(entry, F.when(x.rlike(words.latin) & ~x.rlike(words.local), "en").otherwise("ru"))
     return blocks.withColumns({"fixed": fixed, "language": language})
+
+
+def cut_score(text: Column, style: Column, words: Words = Words()) -> Column:
+    """How good a place for a cut the start of a paragraph is: a section, a heading style, a number with a title, a blank."""
+    x = trimmed(text)
+    return F.when(x.rlike(words.section), 100).when(F.lower(F.coalesce(style, F.lit(""))).startswith("heading"), 80).when(x.rlike(r"^\d+\.\d*\s+[А-ЯЁA-Z]"), 70).when(x == "", 30).otherwise(0)

@@ -54,8 +54,8 @@ def collapse_runs(df: DataFrame, empty: Column, keep: int, unless_next: Column)
     """Drops rows beyond the first ``keep`` of a run of empty ones, unless the next other row fulfils ``unless_next``."""
     df = df.withColumn("_e", empty).withColumn("_u", unless_next).withColumn("_i", island(~F.col("_e"), so_far()))
     run = Window.partitionBy("doc_id", "_i", "_e").orderBy("idx")
-    after = within().rowsBetween(1, Window.unboundedFollowing)
-    df = df.withColumn("_rn", F.row_number().over(run)).withColumn("_next", F.first(F.when(~F.col("_e"), F.col("_u")), ignorenulls=True).over(after))
+    after = Window.partitionBy("doc_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_rn", F.row_number().over(run)).withColumn("_next", F.last(F.when(~F.col("_e"), F.col("_u")), ignorenulls=True).over(after))
     return df.where(~F.col("_e") | (F.col("_rn") <= keep) | F.coalesce("_next", F.lit(False))).drop("_e", "_u", "_i", "_rn", "_next")
 
 

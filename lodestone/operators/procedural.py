@@ -11,31 +11,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A chunk's least and most rows, its best length, and the score of cutting before a row of a kind.
-LEAST, MOST, BEST = 15, 70, 50
-CUT_SCORE = {"heading_1": 100, "heading_2": 80, "bibliography_title": 70, "": 30}
+#: A chunk's least and most rows, its best length, and what a cut scores more within so many rows of that.
+LEAST, MOST, BEST, NEAR, BONUS = 15, 70, 50, 5, 10
 
 
 def chunks(paragraphs: DataFrame) -> DataFrame:
-    """doc_id, idx and chunk: rows of a document are cut where the boundary scores best, 15 to 70 rows after the last cut.
+    """doc_id, idx and chunk: rows of a document are cut before the row that scores best, the first of equals, from 15 to
+    under 70 rows after the last cut; a rest of up to 70 rows is the last chunk. ``paragraphs``: doc_id, idx, score.
 
-    A cut depends on the one before, so a document is cut in one go; documents are independent.
+    A cut depends on the one before, so a document is cut in one go, by its scores alone; documents are independent.
     """
 
     def cut(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")
-        kinds = group["type"].tolist()
+        scores = group["score"].tolist()
         ids, start, number = [], 0, 0
-        while start < len(kinds):
-            end = len(kinds)
+        while start < len(scores):
+            end = len(scores)
             if end - start > MOST:
-                places = range(start + LEAST, start + MOST + 1)
-                end = max(places, key=lambda i: (CUT_SCORE.get(kinds[i], 0) + (10 if abs(i - start - BEST) <= 5 else 0), -i))
+                end = max(range(start + LEAST, start + MOST), key=lambda i: (scores[i] + BONUS * (abs(i - start - BEST) <= NEAR), -i))
             ids += [number] * (end - start)
             start, number = end, number + 1
         return pd.DataFrame({"doc_id": group["doc_id"], "idx": group["idx"], "chunk": ids})
 
-    return paragraphs.select("doc_id", "idx", "type").groupBy("doc_id").applyInPandas(cut, "doc_id long, idx int, chunk int")
+    return paragraphs.select("doc_id", "idx", "score").groupBy("doc_id").applyInPandas(cut, "doc_id long, idx int, chunk int")
 
 
 def greedy_matches(anchors: DataFrame, lines: DataFrame) -> DataFrame:
@@ -57,15 +56,28 @@ def greedy_matches(anchors: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def byte_chunks(documents: DataFrame, budget: int) -> DataFrame:
-    """doc_id, part and text: texts cut to at most ``budget`` bytes of UTF-8 at line ends, else blanks, else characters."""
+    """doc_id, part and text: texts cut to at most ``budget`` bytes of UTF-8 at line ends, else blanks, else characters.
+
+    A text is encoded once and cut by offsets. The budget must hold any one character.
+    """
+    if budget < 4:
+        raise ValueError("a character takes up to 4 bytes")
 
     def split(text: str) -> Iterator[str]:
-        while len(data := text.encode()) > budget:
-            head = data[:budget].decode(errors="ignore")
-            at = max(head.rfind("\n"), 0) or max(head.rfind(" "), 0) or len(head)
-            yield text[:at]
-            text = text[at:].lstrip("\n ")
-        yield text
+        data, start = text.encode(), 0
+        while len(data) - start > budget:
+            end = start + budget
+            at = max(data.rfind(b"\n", start + 1, end), -1)
+            at = at if at > 0 else data.rfind(b" ", start + 1, end)
+            if at < 0:
+                at = end
+                while data[at] & 0xC0 == 0x80:
+                    at -= 1
+            yield data[start:at].decode()
+            while at < len(data) and data[at] in b"\n ":
+                at += 1
+            start = at
+        yield data[start:].decode()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -126,9 +138,12 @@ def pseudonyms(documents: DataFrame) -> DataFrame:
 
 
 def spread(runs: list[str], fixed: str) -> list[str]:
-    """An edited text over the runs of the original: what both begin and end with stays in its run, the rest goes to
-    the run where they begin to differ."""
+    """An edited text over the runs of the original. One of equal length is cut as the runs are; else what both begin and
+    end with stays in its run, and the rest goes to the run where they begin to differ."""
     original = "".join(runs)
+    if len(original) == len(fixed):
+        ends = [sum(map(len, runs[: k + 1])) for k in range(len(runs))]
+        return [fixed[a:b] for a, b in zip([0, *ends], ends)]
     head = 0
     while head < min(len(original), len(fixed)) and original[head] == fixed[head]:
         head += 1

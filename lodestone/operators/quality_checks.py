@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .relational import weighted_scores
 
@@ -62,14 +63,18 @@ def paragraph_checks(rules: Rules) -> list[Check]:
 def run_checks(paragraphs: DataFrame, checks: list[Check]) -> DataFrame:
     """doc_id, check_id, category, severity, n_evaluated, bad_count, passed and up to five examples (places), per check.
 
-    All checks of a document are counted in one aggregation with partial sums; a null predicate is not bad.
+    All checks of a document are counted in one aggregation with partial sums; a null predicate is not bad. Examples are
+    the first few hits by row number, so no task holds all hits of a document.
     """
-    counts, columns = [], []
-    for k, c in enumerate(checks):
-        hit = c.evaluated & F.coalesce(c.bad, F.lit(False))
-        counts += [F.count_if(c.evaluated).alias(f"e{k}"), F.count_if(hit).alias(f"b{k}"), F.slice(F.array_sort(F.collect_list(F.when(hit, F.col("idx")))), 1, EXAMPLES).alias(f"x{k}")]
-        columns.append(F.struct(F.lit(c.id).alias("check_id"), F.lit(c.category).alias("category"), F.lit(c.severity).alias("severity"), F.col(f"e{k}").alias("n_evaluated"), F.col(f"b{k}").alias("bad_count"), (F.col(f"b{k}") == 0).alias("passed"), F.col(f"x{k}").alias("examples")))
-    return paragraphs.groupBy("doc_id").agg(*counts).select("doc_id", F.explode(F.array(*columns)).alias("c")).select("doc_id", "c.*")
+    hits = [c.evaluated & F.coalesce(c.bad, F.lit(False)) for c in checks]
+    counts = [x for k, (c, hit) in enumerate(zip(checks, hits)) for x in (F.count_if(c.evaluated).alias(f"e{k}"), F.count_if(hit).alias(f"b{k}"))]
+    named = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c.id).alias("check_id"), F.lit(c.category).alias("category"), F.lit(c.severity).alias("severity"), F.col(f"e{k}").alias("n_evaluated"), F.col(f"b{k}").alias("bad_count"), (F.col(f"b{k}") == 0).alias("passed")) for k, c in enumerate(checks)])
+    counted = paragraphs.groupBy("doc_id").agg(*counts).select("doc_id", F.explode(named).alias("c")).select("doc_id", "c.*")
+    bad = paragraphs.select("doc_id", "idx", F.explode(F.array_compact(F.array(*[F.when(hit, k) for k, hit in enumerate(hits)]))).alias("k"))
+    first = bad.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "k").orderBy("idx"))).where(F.col("n") <= EXAMPLES)
+    examples = first.groupBy("doc_id", "k").agg(F.array_sort(F.collect_list("idx")).alias("examples"))
+    none = F.array().cast("array<int>")
+    return counted.join(examples, ["doc_id", "k"], "left").withColumn("examples", F.coalesce("examples", none)).drop("k")
 
 
 def loss_severity(percent: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import blocks as op
+from ..operators import procedural
 from ..sources.tables import paragraphs
 from .catalog import Catalog, Tables
 
@@ -111,6 +112,11 @@ def n4_rules_one_by_one(t: Tables) -> DataFrame:
     return op.validated_one_by_one(labelled).select("doc_id", "idx", "fixed", "language")
 
 
+@catalog.query(None)
+def n18_structural_chunks(t: Tables) -> DataFrame:
+    return procedural.chunks(lines(t).withColumn("score", op.cut_score(F.col("text"), F.col("style"))))
+
+
 #: What the repairs mend, before each third word boundary of a line, by (doc_id + idx) % 8.
 DEFECTS = ["и т. д. ", "Т.Е. ", "5 мм, ", "И. И. Иванов ", "J. R. Smith ", '"так" — ', "конец.. ", "  "]
 _DEFECTIVE = f"""WITH p0 AS (SELECT doc_id, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INT) AS idx, unnest(string_split(text, chr(10))) AS line FROM documents),

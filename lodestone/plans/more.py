@@ -60,11 +60,6 @@ def j14_greedy_anchor_matching(t: Tables) -> DataFrame:
     return procedural.greedy_matches(anchors, p.where("type = 'body'").select("doc_id", "idx", "text"))
 
 
-@query(None)
-def n18_structural_chunks(t: Tables) -> DataFrame:
-    return procedural.chunks(typed(t))
-
-
 @query(None)
 def t21_byte_budget_chunks(t: Tables) -> DataFrame:
     return procedural.byte_chunks(t.documents, 1000).select("doc_id", "part", F.octet_length("text").alias("bytes"))
@@ -251,10 +246,10 @@ def d17_change_counters(t: Tables) -> DataFrame:
     return typed(t).groupBy("doc_id").agg(F.count_if(kind.startswith("heading") & (n > 100)).alias("headings_changed"), F.count_if((kind == "body") & (n < 100)).alias("bodies_changed"))
 
 
-@query("SELECT doc_id, md5(string_agg(CASE WHEN k % 5 = 0 THEN '<' || w || '>' ELSE w END, ' ' ORDER BY k)) AS edited FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(0, len(string_split(text, ' ')))) AS k FROM documents WHERE n_chars < 5000 AND lang = 'en') GROUP BY 1")
+@query("SELECT doc_id, md5(string_agg(CASE WHEN k % 5 = 0 THEN '<' || w || '>' ELSE w END, ' ' ORDER BY k)) AS edited FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(0, len(string_split(text, ' ')))) AS k FROM documents) GROUP BY 1")
 def x1_apply_replacements(t: Tables) -> DataFrame:
     edited = F.transform(F.split("text", " "), lambda w, k: F.when(k % 5 == 0, F.concat(F.lit("<"), w, F.lit(">"))).otherwise(w))
-    return t.documents.where("n_chars < 5000 and lang = 'en'").select("doc_id", F.md5(F.array_join(edited, " ")).alias("edited"))
+    return t.documents.select("doc_id", F.md5(F.array_join(edited, " ")).alias("edited"))
 
 
 @query("SELECT CASE WHEN event_type IN ('click', 'view') THEN 'reading' ELSE 'acting' END AS label, count(*) AS n FROM events GROUP BY 1")

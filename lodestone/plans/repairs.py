@@ -42,9 +42,9 @@ def t10_language_conditional_repair(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(fixed).alias("fixed"))
 
 
-@pquery(r"SELECT doc_id, idx, regexp_replace('fig.  ' || idx || ' - ' || left(text, 20), '^(?i:fig(?:ure)?\.?)\s*([0-9]+)\s*[-–—:.]\s*', 'Figure \1 – ') AS caption FROM p WHERE type = 'caption' AND NOT contains(left(text, 20), chr(10))")
+@pquery(r"SELECT doc_id, idx, regexp_replace('fig.  ' || idx || ' - ' || text, '^(?i:fig(?:ure)?\.?)\s*([0-9]+)\s*[-–—:.]\s*', 'Figure \1 – ') AS caption FROM p WHERE type = 'caption'")
 def t17_caption_prefix(t: Tables) -> DataFrame:
-    raw = F.concat(F.lit("fig.  "), "idx", F.lit(" - "), F.left("text", F.lit(20)))
+    raw = F.concat(F.lit("fig.  "), "idx", F.lit(" - "), "text")
     fixed = F.regexp_replace(raw, r"^(?i:fig(?:ure)?\.?)\s*([0-9]+)\s*[-–—:.]\s*", "Figure $1 – ")
     return typed(t).where("type = 'caption'").select("doc_id", "idx", fixed.alias("caption"))
 
@@ -55,16 +55,16 @@ def t18_reference_abbreviations(t: Tables) -> DataFrame:
     return typed(t).where("type = 'body'").select("doc_id", "idx", F.regexp_replace(raw, r"(?<!\p{L})fig\. ?([0-9])", "Figure $1").alias("fixed"))
 
 
-@pquery("SELECT doc_id, idx, CASE WHEN lag(t) OVER w LIKE '% ' THEN ltrim(t, ' ') ELSE t END AS run FROM (SELECT doc_id, idx, left(text, 10) || CASE WHEN idx % 2 = 0 THEN ' ' ELSE '' END AS t0, CASE WHEN idx % 3 = 0 THEN ' ' ELSE '' END || left(text, 10) || CASE WHEN idx % 2 = 0 THEN ' ' ELSE '' END AS t FROM p) WINDOW w AS (PARTITION BY doc_id ORDER BY idx)")
+@pquery("SELECT doc_id, idx, CASE WHEN lag(t) OVER w LIKE '% ' THEN ltrim(t, ' ') ELSE t END AS run FROM (SELECT doc_id, idx, text || CASE WHEN idx % 2 = 0 THEN ' ' ELSE '' END AS t0, CASE WHEN idx % 3 = 0 THEN ' ' ELSE '' END || text || CASE WHEN idx % 2 = 0 THEN ' ' ELSE '' END AS t FROM p) WINDOW w AS (PARTITION BY doc_id ORDER BY idx)")
 def t9_d3_cross_run_spaces(t: Tables) -> DataFrame:
-    run = F.concat(F.when(F.col("idx") % 3 == 0, " ").otherwise(""), F.left("text", F.lit(10)), F.when(F.col("idx") % 2 == 0, " ").otherwise(""))
+    run = F.concat(F.when(F.col("idx") % 3 == 0, " ").otherwise(""), F.col("text"), F.when(F.col("idx") % 2 == 0, " ").otherwise(""))
     p = typed(t).select("doc_id", "idx", run.alias("t")).withColumn("before", F.lag("t").over(op.within()))
     return p.select("doc_id", "idx", F.when(F.col("before").endswith(" "), F.ltrim("t")).otherwise(F.col("t")).alias("run"))
 
 
-@pquery(r"SELECT doc_id, idx, regexp_replace(regexp_replace(regexp_replace('##' || left(text, 15) || '__ \_x', '^(#+)([^# ])', '\1 \2'), '__', '', 'g'), '\\_', '_', 'g') AS fixed FROM p WHERE type LIKE 'heading%'")
+@pquery(r"SELECT doc_id, idx, regexp_replace(regexp_replace(regexp_replace('##' || text || '__ \_x', '^(#+)([^# ])', '\1 \2'), '__', '', 'g'), '\\_', '_', 'g') AS fixed FROM p WHERE type LIKE 'heading%'")
 def t29_markdown_repair(t: Tables) -> DataFrame:
-    x = F.concat(F.lit("##"), F.left("text", F.lit(15)), F.lit(r"__ \_x"))
+    x = F.concat(F.lit("##"), F.col("text"), F.lit(r"__ \_x"))
     x = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "^(#+)([^# ])", "$1 $2"), "__", ""), r"\\_", "_")
     return typed(t).where(F.col("type").startswith("heading")).select("doc_id", "idx", x.alias("fixed"))
 
@@ -124,11 +124,11 @@ def d7_d11_numbered_tables(t: Tables) -> DataFrame:
     return typed(t).groupBy("doc_id").agg(F.count_if(table & F.col("text").rlike("[0-9]")).alias("numbered"), F.count_if(table).alias("tables")).where("numbered >= 1")
 
 
-@pquery("SELECT doc_id, string_agg(repeat('  ', level - 1) || left(text, 12), chr(10) ORDER BY idx) AS toc FROM (SELECT *, CASE type WHEN 'heading_1' THEN 1 ELSE 2 END AS level FROM p WHERE type LIKE 'heading%') GROUP BY 1")
+@pquery("SELECT doc_id, string_agg(repeat('  ', level - 1) || text, chr(10) ORDER BY idx) AS toc FROM (SELECT *, CASE type WHEN 'heading_1' THEN 1 ELSE 2 END AS level FROM p WHERE type LIKE 'heading%') GROUP BY 1")
 def d12_static_contents(t: Tables) -> DataFrame:
     headings = typed(t).where(F.col("type").startswith("heading"))
     level = F.when(F.col("type") == "heading_1", 1).otherwise(2)
-    item = F.struct("idx", F.concat(F.repeat(F.lit("  "), level - 1), F.left("text", F.lit(12))).alias("s"))
+    item = F.struct("idx", F.concat(F.repeat(F.lit("  "), level - 1), F.col("text")).alias("s"))
     return headings.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]), "\n").alias("toc"))
 
 
@@ -139,8 +139,12 @@ def t23_pseudonyms(t: Tables) -> DataFrame:
 
 @query(None)
 def t8_edited_runs(t: Tables) -> DataFrame:
-    runs = t.documents.where("n_chars > 30").select("doc_id", F.array(F.substring("text", 1, 10), F.substring("text", 11, 10), F.substring("text", 21, 10)).alias("runs"))
-    return procedural.redistribute(runs.withColumn("fixed", F.replace(F.array_join("runs", ""), F.lit("the"), F.lit("THE THE"))))
+    """The whole text in three runs of a third each, edited in one place; by doc_id even or odd the length changes or not."""
+    third = F.ceil(F.length("text") / 3).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.substring(F.col("text"), k * third + 1, third))
+    fixed = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit(" the "), F.lit(" THE THE "))).otherwise(F.upper("text"))
+    edits = t.documents.where("text is not null").select("doc_id", runs.alias("runs"), fixed.alias("fixed"))
+    return procedural.redistribute(edits).select("doc_id", F.transform("runs", lambda r: F.md5(r)).alias("runs"))
 
 
 QUERIES, ORACLE_SQL = catalog.queries, catalog.sql

@@ -18,17 +18,17 @@ def now():
     return F.lit(NOW).cast("timestamp_ntz")
 
 
-@query("SELECT user_id % 7 AS model_id, date_trunc('minute', ts) AS minute, count(*) AS requests FROM events GROUP BY 1, 2")
+@query("SELECT user_id AS model_id, date_trunc('minute', ts) AS minute, count(*) AS requests FROM events GROUP BY 1, 2")
 def r1_minute_counters(t: Tables) -> DataFrame:
     return t.events.groupBy((F.col("user_id") % 7).alias("model_id"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("requests"))
 
 
-@query("SELECT user_id % 7 AS model_id, CAST(ts AS DATE) AS day, count(*) AS requests FROM events GROUP BY 1, 2")
+@query("SELECT user_id AS model_id, CAST(ts AS DATE) AS day, count(*) AS requests FROM events GROUP BY 1, 2")
 def r1_day_counters(t: Tables) -> DataFrame:
     return t.events.groupBy((F.col("user_id") % 7).alias("model_id"), F.to_date("ts").alias("day")).agg(F.count("*").alias("requests"))
 
 
-@query("""WITH e AS (SELECT event_id, ts, user_id % 7 AS m, event_type <> 'error' AS ok FROM events),
+@query("""WITH e AS (SELECT event_id, ts, user_id AS m, event_type <> 'error' AS ok FROM events),
 a AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY m, date_trunc('hour', ts) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hourly, coalesce(sum(ok::INT) OVER (PARTITION BY m, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS daily FROM e)
 SELECT event_id, hourly < 2 AND daily < 30 AS admitted FROM a""")
 def r2_admission(t: Tables) -> DataFrame:
@@ -40,10 +40,10 @@ def r2_admission(t: Tables) -> DataFrame:
     return e.select("event_id", ((earlier(F.date_trunc("hour", "ts")) < 2) & (earlier(F.to_date("ts")) < 30)).alias("admitted"))
 
 
-@query("""WITH e AS (SELECT event_id, ts, user_id % 7 AS m, event_type = 'error' AS err, count(*) FILTER (event_type <> 'error') OVER (PARTITION BY user_id % 7 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events)
+@query("""WITH e AS (SELECT event_id, ts, user_id AS m, event_type = 'error' AS err, count(*) FILTER (event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events)
 SELECT event_id, CAST(n AS BIGINT) AS consecutive, ts + CASE WHEN n = 1 THEN INTERVAL 15 SECOND WHEN n = 2 THEN INTERVAL 30 SECOND ELSE INTERVAL 60 SECOND END AS blocked_until FROM (SELECT *, sum(err::INT) OVER (PARTITION BY m, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM e) WHERE err""")
 def r3_error_backoff(t: Tables) -> DataFrame:
-    e = t.events.select("event_id", "ts", (F.col("user_id") % 7).alias("m"), (F.col("event_type") == "error").alias("err"))
+    e = t.events.select("event_id", "ts", F.col("user_id").alias("m"), (F.col("event_type") == "error").alias("err"))
     order = Window.partitionBy("m").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     e = e.withColumn("run", F.sum((~F.col("err")).cast("long")).over(order))
     n = F.sum(F.col("err").cast("long")).over(Window.partitionBy("m", "run").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))

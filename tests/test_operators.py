@@ -117,12 +117,35 @@ def test_missing_properties_pass_and_examples_are_bounded(spark):
 def test_chunks_cut_where_the_boundary_scores_best(spark):
     from lodestone.operators import procedural
 
-    kinds = ["body"] * 150
-    kinds[40], kinds[100] = "heading_1", "heading_2"
-    df = spark.createDataFrame([(1, i, k) for i, k in enumerate(kinds)], "doc_id long, idx int, type string")
-    got = {r.idx: r.chunk for r in procedural.chunks(df).collect()}
-    starts = [i for i in range(150) if i == 0 or got[i] != got[i - 1]]
-    assert starts == [0, 40, 100]
+    def starts(scores):
+        df = spark.createDataFrame([(1, i, k) for i, k in enumerate(scores)], "doc_id long, idx int, score int")
+        got = {r.idx: r.chunk for r in procedural.chunks(df).collect()}
+        return [i for i in range(len(scores)) if i == 0 or got[i] != got[i - 1]]
+
+    scores = [0] * 150
+    scores[40], scores[100] = 100, 80
+    assert starts(scores) == [0, 40, 100]
+    assert starts([0] * 150) == [0, 45, 90]  # nothing to cut at: the first row near the best length
+    scores = [0] * 150
+    scores[70] = 100  # one too far
+    assert starts(scores)[1] == 45
+    scores[14] = 100  # one too near
+    assert starts(scores)[1] == 45
+
+
+def test_cut_scores(spark):
+    from lodestone.operators import blocks
+
+    rows = [("Введение", None), ("x", "Heading 2"), ("2.1 Методы", None), ("", None), ("слова", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "idx int, text string, style string")
+    assert [r.s for r in df.orderBy("idx").select(blocks.cut_score(F.col("text"), F.col("style")).alias("s")).collect()] == [100, 80, 70, 30, 0]
+
+
+def test_edited_texts_over_runs():
+    from lodestone.operators.procedural import spread
+
+    assert spread(["ab", "cd", "e"], "ABCDE") == ["AB", "CD", "E"]
+    assert spread(["ab ", "the ", "end"], "ab THE THE end") == ["ab ", "THE THE ", "end"]
 
 
 def test_greedy_matches_use_a_line_once(spark):

@@ -64,6 +64,14 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column has it, whatever its case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def few(ids: DataFrame) -> DataFrame:
     """``ids``, marked for broadcast if they are few enough; else they are joined by a shuffle."""
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids

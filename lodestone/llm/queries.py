@@ -28,7 +28,7 @@ def op2_canonical_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc_index_and_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_warc(table(spark, sf_dir, "pages"))
-    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_records(index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_byte_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:

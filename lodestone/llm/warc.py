@@ -8,7 +8,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +21,8 @@ DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of an archive that a task reads; ranges closer than the gap are read as one, up to the length.
 CHUNK, GAP, READ = 64 << 20, 64 << 10, 8 << 20
+#: Payload bytes of a batch of parsed records.
+BATCH = 16 << 20
 
 INDEX = "page_id long, url string, digest string, record_type string, refers_to long, file string, offset long, length long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -124,36 +125,58 @@ def write_warc(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return materialise(marked.mapInArrow(write, INDEX), "warc-index")
 
 
-def read_records(selected: DataFrame) -> DataFrame:
-    """The records of the selected rows of an index, parsed.
+def read_records(selected: DataFrame, payload: bool = True) -> DataFrame:
+    """The records of the selected rows of an index, parsed; without ``payload`` that column is null.
 
-    Rows of one archive and one stretch of ``CHUNK`` bytes go to a task, in order of offset; neighbouring ranges are
-    coalesced into one read. A row that is selected twice is read once.
+    Rows of one archive and one stretch of ``CHUNK`` bytes go to a task together, in order of offset; neighbouring ranges
+    are coalesced into one read of at most ``READ`` bytes, and parsed records leave the task in batches of about ``BATCH``
+    payload bytes, however far they expand. A row that is selected twice is read once. An empty selection gives no rows.
     """
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
 
-    def read(group: pd.DataFrame) -> pd.DataFrame:
-        store, path = filesystem(group["file"].iloc[0])
-        found = []
-        with store.open_input_file(path) as archive:
-            run: list[tuple[int, int]] = []
-
-            def flush() -> None:
-                if run:
-                    first, end = run[0][0], max(o + n for o, n in run)
-                    data = archive.read_at(end - first, first)
-                    found.extend(parse_record(data[o - first : o - first + n]) for o, n in run)
-                    run.clear()
-
-            for offset, length in sorted(set(zip(group["offset"].tolist(), group["length"].tolist()))):
-                if run and (offset - run[-1][0] - run[-1][1] > GAP or offset + length - run[0][0] > READ):
-                    flush()
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+        """Archive and neighbouring (offset, length) of each read."""
+        at, run = None, []
+        for batch in batches:
+            for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))):
+                if run and file == at and offset == run[-1][0]:
+                    continue
+                if run and (file != at or offset - sum(run[-1]) > GAP or offset + length - run[0][0] > READ):
+                    yield at, run
+                    run = []
+                at = file
                 run.append((offset, length))
-            flush()
-        out = pd.DataFrame(found, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-        return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+        if run:
+            yield at, run
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size, open_name, archive = [], 0, None, None
+        for file, run in runs(batches):
+            if file != open_name:
+                if archive is not None:
+                    archive.close()
+                store, path = filesystem(file)
+                open_name, archive = file, store.open_input_file(path)
+            first = run[0][0]
+            data = archive.read_at(sum(run[-1]) - first, first)
+            for offset, length in run:
+                record = parse_record(data[offset - first : offset - first + length])
+                found.append(record if payload else (*record[:-1], None))
+                size += len(record[-1] or b"") if payload else 64
+                if size >= BATCH:
+                    yield as_batch(found)
+                    found, size = [], 0
+        if archive is not None:
+            archive.close()
+        if found:
+            yield as_batch(found)
 
     chunk = F.floor(F.col("offset") / CHUNK)
-    return selected.select("file", "offset", "length", chunk.alias("chunk")).groupBy("file", "chunk").applyInPandas(read, RECORD)
+    return selected.select("file", "offset", "length").repartition("file", chunk).sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
 
 
 SQL = """

@@ -131,8 +131,9 @@ SPREAD_OF_CORE = 0.5604
 
 
 def sums_by_bucket(rows: DataFrame, bucket: Column) -> DataFrame:
-    """Count, sums and sums of products of each group and start in each bucket of distance; partial sums go ahead."""
-    products = [F.sum(F.col(f"q{i}") * F.col(f"q{j}")).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P)]
+    """Count, sums and sums of products of each group and start in each bucket of distance; partial sums go ahead. Products
+    are whole numbers, so their sums in doubles are exact in groups of up to 1e8 rows, and never overflow."""
+    products = [F.sum((F.col(f"q{i}") * F.col(f"q{j}")).cast("double")).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P)]
     return rows.groupBy("group", "start", bucket.alias("bucket")).agg(F.count("*").alias("n"), *[F.sum(f"q{i}").alias(f"s{i}") for i in range(P)], *products)
 
 

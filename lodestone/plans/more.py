@@ -90,10 +90,10 @@ def k6_priority_available(t: Tables) -> DataFrame:
     return t.part.where("p_size % 3 <> 0").orderBy(F.desc("p_retailprice"), "p_partkey").limit(4).select("p_partkey")
 
 
-@pquery("SELECT doc_id, idx FROM p QUALIFY type = 'body' AND row_number() OVER (PARTITION BY doc_id, type ORDER BY idx) <= 5")
+@pquery("SELECT doc_id, idx FROM p QUALIFY type = 'body' AND row_number() OVER (PARTITION BY doc_id, type ORDER BY idx) <= 50")
 def k9_sample_of_body(t: Tables) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("idx"))
-    return typed(t).where("type = 'body'").withColumn("place", place).where("place <= 5").select("doc_id", "idx")
+    return typed(t).where("type = 'body'").withColumn("place", place).where("place <= 50").select("doc_id", "idx")
 
 
 @pquery("SELECT doc_id, idx, 'long' AS rule FROM p WHERE length(text) > 500 UNION ALL SELECT doc_id, idx, 'empty' FROM p WHERE text = '' UNION ALL SELECT doc_id, idx, 'unknown' FROM p WHERE type = '' UNION ALL SELECT doc_id, idx, 'digits' FROM p WHERE regexp_matches(text, '[0-9]')")

@@ -4,27 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A turn in the rendered text: role, then text.
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
 def snapshots(turns: DataFrame) -> DataFrame:
-    """conv_id and ``hashes``: of each conversation, the rolling hash after each of its turns in order.
+    """conv_id, place, a, b and last of each distinct turn: 128 bits of rolling hash over the turns up to it.
 
-    Only 128-bit digests of turns meet in a conversation's row, no texts. Turns of one number are in order of digest
-    here, which is the same for all conversations.
+    Turns are in order of (turn, role, text), null turns first, as they are rendered. The hash is the exclusive or of
+    hashes of role, text and place, so a window rolls it forward; nothing grows with a conversation but its rows.
     """
-    digest = F.md5(F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("t"))))
-    turn = F.struct("turn", digest.alias("digest"))
-    ordered = turns.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_set(turn)).alias("turns"))
-
-    def roll(done, t):
-        h = F.md5(F.concat(done["last"], t["digest"]))
-        return F.struct(h.alias("last"), F.array_append(done["all"], h).alias("all"))
-
-    rolled = F.aggregate("turns", F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all")), roll)
-    return ordered.select("conv_id", rolled["all"].alias("hashes"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = turns.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    seen = (F.row_number().over(order) > 1) & F.lag("turn").over(order).eqNullSafe(F.col("turn")) & (F.lag("role").over(order) == F.col("role")) & (F.lag("text").over(order) == F.col("text"))
+    new = rows.withColumn("seen", seen).where("not seen")
+    placed = new.select("conv_id", F.row_number().over(order).alias("place"), *[F.xxhash64(F.lit(k), "role", "text").alias(k) for k in ("a", "b")])
+    by_place = Window.partitionBy("conv_id").orderBy("place")
+    rolled = [F.bit_xor(F.xxhash64(k, "place")).over(by_place.rowsBetween(Window.unboundedPreceding, 0)).alias(k) for k in ("a", "b")]
+    return placed.select("conv_id", "place", *rolled, F.lead("place").over(by_place).isNull().alias("last"))
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
@@ -35,10 +34,9 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     inner hashes.
     """
     chains = snapshots(turns)
-    n = F.size("hashes")
-    whole = chains.groupBy(F.element_at("hashes", -1).alias("hash")).agg(F.min("conv_id").alias("conv_id"))
-    inner = chains.where(n > 1).select(F.explode(F.slice("hashes", F.lit(1), n - 1)).alias("hash")).distinct()
-    return whole.join(inner, "hash", "left_anti").select("conv_id")
+    whole = chains.where("last").groupBy("a", "b", "place").agg(F.min("conv_id").alias("conv_id"))
+    inner = chains.where("not last").select("a", "b", "place").distinct()
+    return whole.join(inner, ["a", "b", "place"], "left_anti").select("conv_id")
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:

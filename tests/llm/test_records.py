@@ -86,6 +86,19 @@ def test_snapshots_collapse(spark):
         assert got[c].rendered == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
 
 
+def test_prefixes_that_end_among_turns_of_one_number(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "user", "c"), (2, 0, "user", "a"), (3, 0, "user", "b"), (4, 0, "user", "a"), (4, 0, "user", "a"), (4, 7, "user", "b")]
+    got = {r.conv_id: r.n_turns for r in chat.format_conversations(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: 3, 3: 1}  # "a" and "a b" begin the first; "b" doesn't
+
+
+def test_a_very_long_conversation(spark):
+    rows = [(c, k, "user", f"{k}") for c, n in ((1, 20_000), (2, 19_999), (3, 5)) for k in range(n)]
+    got = chat.maximal_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [r.conv_id for r in got] == [1]
+
+
 def test_chat_nulls_and_nothing(spark):
     schema = "conv_id long, turn long, role string, text string"
     assert chat.format_conversations(spark.createDataFrame([], schema)).collect() == []

@@ -7,19 +7,22 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from functools import cache
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Encoded matches of which a worker remembers the ids, and the longest that it remembers.
 CACHE, CACHE_CHARS = 1_000_000, 64
-#: States that are made; beyond them guesses are followed without making states.
-STATES = 20_000
+#: States that are kept; at one more all are dropped but the one that the machine is in, and made again as needed.
+STATES = 100_000
 #: White space as the pattern's authors' engine has it; Python's also has four control characters.
 SPACE = r"\t-\r\x20\x85\xA0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
+#: The state before a text: one guess, nothing emitted, at the root of the trie.
+START = (((-1,), 0),)
+
+
 class Transducer:
     """Encodes byte strings, a byte at a time, into the ids that merging by rank gives.
 
@@ -28,8 +31,9 @@ class Transducer:
     end: it walks the trie of tokens, and at a token it may emit it, if it may follow the one before, and return to the
     root. A state of the deterministic machine is the set of guesses still open: for each, the tokens not yet emitted
     and the place in the trie. What all guesses begin with is emitted; an open guess is never longer than the longest
-    token, so the lookahead is bounded. States and transitions are made when first needed and
-    kept, up to a bound; a text that needs more is encoded by following the guesses themselves.
+    token, so the lookahead is bounded. Of the last token emitted a state holds only what decides which may follow it, so
+    states recur across texts. They and their transitions are made when first needed; when too many are kept, they are
+    dropped and made anew, so the machine is the only path and its memory is bounded.
     """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
@@ -48,14 +52,37 @@ class Transducer:
             self.ends[node] = i
         self.may_follow: dict[int, dict[int, bool]] = {}
         self.spines: tuple[dict[int, list[tuple[bytes, int]]], ...] = ({}, {})
-        self.finder = ahocorasick.Automaton()
+        self.extends: dict[bytes, int] = {}  # the least rank of the tokens that a string begins
         for token, i in ranks.items():
-            self.finder.add_word(token.decode("latin-1"), (len(token), i))
-        self.finder.make_automaton()
-        start = (((-1,), 0),)
-        self.numbers = {start: 0}
-        self.states = [start]
-        self.steps: list[dict[int, tuple[tuple[int, ...], int]]] = [{}]
+            for k in range(1, len(token)):
+                self.extends[token[:k]] = min(i, self.extends.get(token[:k], i))
+        self.alike: dict[tuple, int] = {}
+        self.stands_for: dict[int, int] = {-1: -1}
+        self.forget(())
+
+    def forget(self, state: tuple) -> int:
+        """Drop all states; the number of the given one, which stays."""
+        self.numbers: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.steps: list[dict[int, tuple[tuple[int, ...], int]]] = []
+        self.number(START)
+        return self.number(state or START)
+
+    def number(self, state: tuple) -> int:
+        known = self.numbers.get(state)
+        if known is None:
+            known = self.numbers[state] = len(self.states)
+            self.states.append(state)
+            self.steps.append({})
+        return known
+
+    def last(self, token: int) -> int:
+        """The token that stands for all with the same parts at their right edge that may still merge with what follows."""
+        known = self.stands_for.get(token)
+        if known is None:
+            parts = tuple((x, until) for x, until in self.spine(token, 1) if self.extends.get(x, until) < until)
+            known = self.stands_for[token] = self.alike.setdefault(parts, token)
+        return known
 
     def merge(self, text: bytes) -> list[bytes]:
         """Plain merging by rank, until two parts are left."""
@@ -118,34 +145,11 @@ class Transducer:
         first = guesses[0][0]
         while all(len(p) > common and len(first) > common and p[common] == first[common] for p, _ in guesses):
             common += 1
-        after = tuple([(p[common - 1 :], node) for p, node in guesses]) if common > 1 else tuple(guesses)
-        number = self.numbers.get(after)
-        if number is None:
-            number = self.numbers[after] = len(self.states)
-            self.states.append(after)
-            self.steps.append({})
-        self.steps[state][byte] = (first[1:common], number)
-        return self.steps[state][byte]
-
-    def guess(self, text: bytes) -> tuple[int, ...]:
-        """The same without states: tokens in the order of their ends; the first that may stand at an end is the one."""
-        n = len(text)
-        ending = [-2] * n + [-1]  # the token that ends before each place; the last is that before the text
-        for end, (size, token) in self.finder.iter(text.decode("latin-1")):
-            if ending[end] == -2:
-                before = ending[end - size]
-                known = self.may_follow.get(before)
-                if known is not None and token in known:
-                    if known[token]:
-                        ending[end] = token
-                elif self.follows(before, token):
-                    ending[end] = token
-        out = []
-        while n:
-            out.append(ending[n - 1])
-            n -= len(self.tokens[ending[n - 1]])
-        out.reverse()
-        return tuple(out)
+        after = tuple([((self.last(p[common - 1]), *p[common:]), node) for p, node in guesses]) if common > 1 else tuple(guesses)
+        if len(self.states) >= STATES and after not in self.numbers:
+            return first[1:common], self.forget(after)
+        self.steps[state][byte] = made = first[1:common], self.number(after)
+        return made
 
     def encode(self, text: bytes) -> tuple[int, ...]:
         if text in self.ranks:
@@ -153,11 +157,7 @@ class Transducer:
         out: list[int] = []
         state = 0
         for byte in text:
-            made = self.steps[state].get(byte)
-            if made is None:
-                if len(self.states) > STATES:
-                    return self.guess(text)
-                made = self.step(state, byte)
+            made = self.steps[state].get(byte) or self.step(state, byte)
             out += made[0]
             state = made[1]
         return (*out, *self.states[state][-1][0][1:])

@@ -20,19 +20,19 @@ def now():
 
 @query("SELECT user_id AS model_id, date_trunc('minute', ts) AS minute, count(*) AS requests FROM events GROUP BY 1, 2")
 def r1_minute_counters(t: Tables) -> DataFrame:
-    return t.events.groupBy((F.col("user_id") % 7).alias("model_id"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("requests"))
+    return t.events.groupBy(F.col("user_id").alias("model_id"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("requests"))
 
 
 @query("SELECT user_id AS model_id, CAST(ts AS DATE) AS day, count(*) AS requests FROM events GROUP BY 1, 2")
 def r1_day_counters(t: Tables) -> DataFrame:
-    return t.events.groupBy((F.col("user_id") % 7).alias("model_id"), F.to_date("ts").alias("day")).agg(F.count("*").alias("requests"))
+    return t.events.groupBy(F.col("user_id").alias("model_id"), F.to_date("ts").alias("day")).agg(F.count("*").alias("requests"))
 
 
 @query("""WITH e AS (SELECT event_id, ts, user_id AS m, event_type <> 'error' AS ok FROM events),
 a AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY m, date_trunc('hour', ts) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hourly, coalesce(sum(ok::INT) OVER (PARTITION BY m, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS daily FROM e)
 SELECT event_id, hourly < 2 AND daily < 30 AS admitted FROM a""")
 def r2_admission(t: Tables) -> DataFrame:
-    e = t.events.select("event_id", "ts", (F.col("user_id") % 7).alias("m"), (F.col("event_type") != "error").cast("int").alias("ok"))
+    e = t.events.select("event_id", "ts", F.col("user_id").alias("m"), (F.col("event_type") != "error").cast("int").alias("ok"))
 
     def earlier(unit):
         return F.coalesce(F.sum("ok").over(Window.partitionBy("m", unit).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

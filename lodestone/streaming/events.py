@@ -18,7 +18,7 @@ def stream_of(spark: SparkSession, folder: str, schema: StructType, files_per_ba
 
 def counters(events: DataFrame, unit: str, late: str = "1 hour") -> DataFrame:
     """Requests per model and calendar window of a unit; windows close once the watermark passes them."""
-    windowed = events.withWatermark("ts", late).groupBy(F.window("ts", unit), (F.col("user_id") % 7).alias("model_id")).agg(F.count("*").alias("requests"))
+    windowed = events.withWatermark("ts", late).groupBy(F.window("ts", unit), F.col("user_id").alias("model_id")).agg(F.count("*").alias("requests"))
     return windowed.select("model_id", F.col("window.start").alias("start"), "requests")
 
 
@@ -56,7 +56,7 @@ def backoff(events: DataFrame) -> DataFrame:
         state.update((errors,))
         yield pd.DataFrame(out, columns=["event_id", "consecutive", "blocked_until"])
 
-    keyed = events.withColumn("model_id", F.col("user_id") % 7)
+    keyed = events.withColumn("model_id", F.col("user_id"))
     return keyed.groupBy("model_id").applyInPandasWithState(step, "event_id long, consecutive long, blocked_until timestamp", "errors long", "append", GroupStateTimeout.NoTimeout)
 
 

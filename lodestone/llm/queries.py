@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, line_dedup, near_dedup, packing, pii, quality, secrets, warc
+from . import bpe, chat, clustering, divergence, fingerprints, line_dedup, near_dedup, packing, pii, quality, secrets, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_vantage_point_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_segment_tree_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_block_max_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_canonical_fingerprints": op2_canonical_fingerprints,
@@ -88,9 +100,15 @@ QUERIES: dict[str, Query] = {
     "op8_chat_snapshot_collapse": op8_chat_snapshot_collapse,
     "op9_bootstrapped_pii": op9_bootstrapped_pii,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_vantage_point_clusters": op11_vantage_point_clusters,
+    "op12_segment_tree_divergence": op12_segment_tree_divergence,
+    "op13_block_max_top_k": op13_block_max_top_k,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_index_and_ranges": warc.SQL,
     "op8_chat_snapshot_collapse": chat.SQL,
+    "op11_vantage_point_clusters": clustering.sql(),
+    "op12_segment_tree_divergence": divergence.SQL,
+    "op13_block_max_top_k": topk.SQL,
 }

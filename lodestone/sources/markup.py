@@ -112,9 +112,15 @@ def file_elements(files: DataFrame, key: str = "path", content: str = "content")
 
 
 def part_elements(parts: DataFrame) -> DataFrame:
-    """Element rows of parts given as text: key, part, xml. A part that isn't well-formed gives what precedes the fault and a row with the error."""
+    """Element rows of parts given as text: key, part, xml; a part that isn't XML by its name gives one row.
+
+    A part that isn't well-formed gives what precedes the fault and a row with the error.
+    """
 
     def parsed(key: str, part: str, xml: str | None) -> Iterator[tuple]:
+        if not part.endswith(".xml"):
+            yield (key, part, *[None] * (len(_NAMES) - 2))
+            return
         try:
             yield from elements_of(key, part, (xml or "").encode())
         except expat.ExpatError as e:

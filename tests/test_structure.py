@@ -89,7 +89,7 @@ def test_unreadable_parts_give_a_row(spark):
     files = spark.createDataFrame([("bad", b"no zip"), ("none", None), ("broken", package("<w:p>"))], "path string, content binary")
     got = {r.key: r.error for r in markup.file_elements(files).where("error is not null").collect()}
     assert set(got) == {"bad", "none", "broken"} and got["broken"].startswith("ExpatError")
-    assert markup.part_elements(spark.createDataFrame([(1, "x", None)], "key int, part string, xml string")).where("error is not null").count() == 1
+    assert markup.part_elements(spark.createDataFrame([(1, "x.xml", None), (1, "y.png", None)], "key int, part string, xml string")).where("error is not null").count() == 1
 
 
 MARGINS = {"top": 1134, "bottom": 1134, "left": 1701, "right": 851}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import ordered as op
+from ..operators import folds, ordered as op
 from ..operators import procedural
 from .catalog import Catalog, Tables
 from .ordered import PARAGRAPHS, typed
@@ -49,10 +49,10 @@ def t17_caption_prefix(t: Tables) -> DataFrame:
     return typed(t).where("type = 'caption'").select("doc_id", "idx", fixed.alias("caption"))
 
 
-@pquery(r"SELECT doc_id, idx, regexp_replace('see fig. ' || idx || ' and config. 2', '(^|[^\p{L}])fig\. ?([0-9])', '\1Figure \2', 'g') AS fixed FROM p WHERE type = 'body'")
+@pquery(r"""SELECT doc_id, idx, md5(regexp_replace(regexp_replace(replace(text, ' ', ' рис. 1 барис 2 Табл 3 '), '(^|[^\p{L}])([Рр])ис\.?\s*([0-9])', '\1\2исунок \3', 'g'), '(^|[^\p{L}])([Тт])абл\.?\s*([0-9])', '\1\2аблица \3', 'g')) AS fixed FROM p WHERE type = 'body'""")
 def t18_reference_abbreviations(t: Tables) -> DataFrame:
-    raw = F.concat(F.lit("see fig. "), "idx", F.lit(" and config. 2"))
-    return typed(t).where("type = 'body'").select("doc_id", "idx", F.regexp_replace(raw, r"(?<!\p{L})fig\. ?([0-9])", "Figure $1").alias("fixed"))
+    raw = F.replace(F.col("text"), F.lit(" "), F.lit(" рис. 1 барис 2 Табл 3 "))
+    return typed(t).where("type = 'body'").select("doc_id", "idx", F.md5(folds.full_references(raw)).alias("fixed"))
 
 
 @pquery("SELECT doc_id, idx, CASE WHEN lag(t) OVER w LIKE '% ' THEN ltrim(t, ' ') ELSE t END AS run FROM (SELECT doc_id, idx, text || CASE WHEN idx % 2 = 0 THEN ' ' ELSE '' END AS t0, CASE WHEN idx % 3 = 0 THEN ' ' ELSE '' END || text || CASE WHEN idx % 2 = 0 THEN ' ' ELSE '' END AS t FROM p) WINDOW w AS (PARTITION BY doc_id ORDER BY idx)")

@@ -25,8 +25,12 @@ BITS = 2
 PERCENT = 75
 #: Estimated similarity under which a candidate isn't confirmed: 5.4 standard deviations below the threshold.
 LEAST_ESTIMATE = 0.5
-#: Up to this many members a bucket's remaining members are compared directly; larger buckets get more hubs instead.
+#: Up to this many members a bucket's remaining members are compared directly; larger buckets get more hubs first.
 SMALL_BUCKET = 64
+#: Members of a block when large buckets are compared, and rows that are compared with a block at a time.
+BLOCK, STEP = 4096, 64
+#: Words of parity sketches that are compared at a time.
+PARITY_WORDS = 1 << 20
 
 _DRAW = np.random.Generator(np.random.PCG64(10))
 _MULTIPLY = _DRAW.integers(1, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,9 +135,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     bands, their pairs recur and are confirmed once. Then come rounds in which only buckets whose members still lie in
     several components take part: those of up to 64 members compare all members of different components, larger ones
     get the next most central member as a hub; the rounds end when one adds no link. What large buckets then still
-    hold apart is split by further bands and compared (``split_candidates``). So a link is lost only if none of
-    the 32 bands holds it (5e-6), or if every such part that holds it is large, no chain of other links joins its ends, and
-    neither end was a hub before the rounds ended.
+    hold apart is compared in blocks (``apart_in_buckets``), every member outside the main component with all others. So a
+    link is lost only if none of the 32 bands holds it (5e-6) or its estimate falls below ``LEAST_ESTIMATE``.
     """
     table = materialise(sketches(documents), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n_shingles", "bits", "bands")).alias("x")
@@ -175,8 +178,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         if not found.limit(1).count():
             break
         components = extended(components, found)
-    pairs = materialise(likely(split_candidates(buckets, components), classes), "pairs")
-    found = confirmed_pairs(pairs, classes, documents)
+    found = confirmed_pairs(materialise(apart_in_buckets(buckets, components, classes, documents), "pairs"), classes, documents)
     if found.limit(1).count():
         components = extended(components, found)
 
@@ -195,33 +197,102 @@ def extended(components: DataFrame, links: DataFrame) -> DataFrame:
     return connected_components(stars.unionByName(links))
 
 
-def split_candidates(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """Candidate pairs of the large buckets that still hold several components, split by their members' other bands.
+def parity(hashes: np.ndarray) -> bytes:
+    """Which of 4 to 8 bits a shingle are hit an odd number of times. Two of these differ in no more bits than the sets in elements."""
+    width = max(64, 1 << (4 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).tobytes()
 
-    Two members at the threshold share each further band with a probability of 0.32 or more, so of 31 some with all but
-    1e-5. Those in a small bucket are compared already; each part of two large buckets with up to ``SMALL_BUCKET``
-    members has all pairs of its different components compared, a larger part those with its most central member.
+
+def parities(documents: DataFrame) -> DataFrame:
+    """Digest and parity sketch of each document's set."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(x) for x in found], pa.binary()), pa.array([parity(x) for x in found], pa.binary())], ["digest", "parity"])
+
+    return documents.select("text").mapInArrow(sketch, "digest binary, parity binary")
+
+
+def apart_in_buckets(buckets: DataFrame, components: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Candidates (a, b, n_a, n_b) of the large buckets that still hold several components: every pair that may be a link.
+
+    The members outside a bucket's main component meet all its members in blocks, at most two blocks a task. There a pair
+    must pass by sizes and packed signatures and then by parity sketches, whose differing bits are never more than the
+    elements that two sets don't share; so what they rule out is no link. Few pairs that are none pass.
     """
-    placed = buckets.where(F.col("n") > SMALL_BUCKET).select("key", "digest", "rank").join(components.withColumnRenamed("id", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    placed = buckets.where(F.col("n") > SMALL_BUCKET).select("key", "digest").join(components.withColumnRenamed("id", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    placed = materialise(placed, "placed")
+    counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.count("*").alias("held")).where("held > 1")
     members = materialise(placed.join(mixed, "key"), "members")
-    other = members.select("digest", F.col("key").alias("other"))
-    parts = members.join(other, "digest").where("key < other").select("key", "other", "digest", "component", "rank")
-    sizes = parts.groupBy("key", "other").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("rank", "digest", "component")).alias("hub")).where("low <> high")
-    parts = materialise(parts.join(sizes, ["key", "other"]), "parts")
-    right = parts.select("key", "other", F.col("digest").alias("b"), F.col("component").alias("c_b"), "n", "hub")
-    left = parts.where(F.col("n") <= SMALL_BUCKET).select("key", "other", F.col("digest").alias("a"), F.col("component").alias("c_a"))
-    within = left.join(right.where(F.col("n") <= SMALL_BUCKET), ["key", "other"]).where("c_a < c_b").select("a", "b")
-    with_hub = right.where((F.col("n") > SMALL_BUCKET) & (F.col("hub.component") != F.col("c_b"))).select(F.col("hub.digest").alias("a"), "b")
-    return within.unionByName(with_hub).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sketched = parities(of_classes(members.select("digest").distinct(), classes, documents)).distinct()
+    members = members.join(classes.select("digest", "n_shingles", "bits"), "digest").join(sketched, "digest")
+    members = members.withColumns({"minor": F.col("component") != F.col("main"), "block": F.pmod(F.xxhash64("digest"), "blocks")})
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    columns = ["key", "digest", "component", "n_shingles", "bits", "parity"]
+    left = members.where("minor").select(*columns, F.lit(True).alias("asks"), F.col("block").alias("i"), every.alias("j"))
+    right = members.select(*columns, F.lit(False).alias("asks"), every.alias("i"), F.col("block").alias("j"))
+    found = left.unionByName(right).groupBy("key", "i", "j").applyInArrow(_compare, "a binary, b binary, n_a long, n_b long")
+    return found.distinct()
+
+
+def _folded(sketch: np.ndarray, width: int) -> np.ndarray:
+    """Parity sketches at a smaller width: halves are added without carry."""
+    while sketch.shape[1] > width:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Pairs of an asking and another row of different components that sizes, signatures and parities leave possible."""
+    asks = table["asks"].to_numpy().astype(bool)
+    digest, sizes = np.array(table["digest"].to_pylist(), object), table["n_shingles"].to_numpy()
+    component = np.unique(np.array(table["component"].to_pylist(), object), return_inverse=True)[1]
+    bits = table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(sizes), _WORDS)
+    sketches = [np.frombuffer(x, np.uint64) for x in table["parity"].to_pylist()]
+    widths = np.array([len(x) for x in sketches])
+    even = np.uint64(sum(1 << i for i in range(0, 64, BITS)))
+    most = MINIMA * (1 - (1 << BITS) ** -1.0) * (1 - LEAST_ESTIMATE)  # minima that may differ
+    left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+    kept = []
+    for k in range(0, len(left), STEP):
+        who = left[k : k + STEP]
+        x = bits[who][:, None] ^ bits[right]
+        differing = np.zeros(x.shape[:2], np.int64)
+        for w in range(_WORDS):
+            y = x[:, :, w]
+            for shift in range(1, BITS):
+                y = y | (x[:, :, w] >> np.uint64(shift))
+            differing += np.bitwise_count(y & even)
+        less, more = np.minimum(sizes[who][:, None], sizes[right]), np.maximum(sizes[who][:, None], sizes[right])
+        rows, columns = np.nonzero((differing <= most) & (100 * less >= PERCENT * more) & (component[who][:, None] != component[right]))
+        a, b = who[rows], right[columns]
+        for wide_a, wide_b in np.unique(np.stack([widths[a], widths[b]], axis=1), axis=0):
+            width = min(wide_a, wide_b)
+            at = np.flatnonzero((widths[a] == wide_a) & (widths[b] == wide_b))
+            for part in np.array_split(at, -(-len(at) * max(wide_a, wide_b) // PARITY_WORDS)):
+                x = _folded(np.stack([sketches[i] for i in a[part]]), width) ^ _folded(np.stack([sketches[i] for i in b[part]]), width)
+                unshared = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+                # Sets reach the threshold if those elements are at most so large a share of both sizes.
+                near = part[(100 + PERCENT) * unshared <= (100 - PERCENT) * (sizes[a[part]] + sizes[b[part]])]
+                kept += zip(a[near], b[near])
+    ordered = [(i, j) if digest[i] < digest[j] else (j, i) for i, j in kept]
+    a, b = (np.array(x, np.int64) for x in zip(*ordered)) if ordered else (np.empty(0, np.int64),) * 2
+    return pa.table([pa.array(digest[a].tolist(), pa.binary()), pa.array(digest[b].tolist(), pa.binary()), pa.array(sizes[a], pa.int64()), pa.array(sizes[b], pa.int64())], names=["a", "b", "n_a", "n_b"])
+
+
+def of_classes(wanted: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """A document of each wanted class (digest)."""
+    ids = few(materialise(wanted.join(classes.select("digest", F.col("doc_id").alias("id")), "digest").select("id").distinct(), "ids"))
+    return documents.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
 
 def confirmed_pairs(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
     """The pairs that reach the threshold on full sets; sets are made anew from one document of each class involved."""
     wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-    ids = few(materialise(wanted.join(classes.select("digest", F.col("doc_id").alias("id")), "digest").select("id").distinct(), "ids"))
-    source = documents.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = materialise(full_sets(source), "sets")
+    sets = materialise(full_sets(of_classes(wanted, classes, documents)), "sets")
     links = materialise(confirmed(pairs, sets), "links")
     discard(sets, pairs)
     return links

@@ -101,6 +101,35 @@ def test_large_buckets_are_split_by_further_bands(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == component
 
 
+def test_large_buckets_at_their_real_size(spark):
+    """300 documents share a passage that puts them into the same buckets; pairs at 0.76 to 0.9 are linked, the rest isn't."""
+    rng = random.Random(9)
+    passage, texts = words(rng, 150), []
+    for k in range(150):
+        own = words(rng, 90)
+        for _ in range(2):
+            copy = passage + own
+            for _ in range(1 + k % 3):
+                copy[rng.randrange(150, 240)] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    _, component = brute_components(texts)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == component
+
+
+def test_parity_sketches_never_differ_in_more_than_the_sets_do():
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 40, 700):
+        for _ in range(30):
+            pool = rng.integers(0, 1 << 63, 2 * n, np.uint64)
+            a, b = (np.unique(pool[rng.random(2 * n) < p]) for p in (0.9, 0.5))
+            if len(a) and len(b):
+                x, y = (np.frombuffer(near_dedup.parity(s), np.uint64)[None] for s in (a, b))
+                width = min(x.shape[1], y.shape[1])
+                differing = np.bitwise_count(near_dedup._folded(x, width) ^ near_dedup._folded(y, width)).sum()
+                assert differing <= len(np.setxor1d(a, b))
+
+
 def test_near_duplicates_of_nothing_and_of_nulls(spark):
     assert near_dedup.near_duplicates(empty(spark)).collect() == []
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (7, None)]

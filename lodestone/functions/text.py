@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 NBSP = "\u00a0"
 
 
+def guarded(x: Column, may: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """``change`` only where the cheaper test ``may`` holds; both see the text as one value, so it is computed once."""
+    return F.transform(F.array(x), lambda t: F.when(may(t), change(t)).otherwise(t))[0]
+
+
 def collapse_spaces(x: Column) -> Column:
-    return F.regexp_replace(x, " {2,}", " ")
+    return guarded(x, lambda t: F.contains(t, F.lit("  ")), lambda t: F.regexp_replace(t, " {2,}", " "))
 
 
 def fix_double_dots(x: Column) -> Column:
     """Two dots become one; an ellipsis stays."""
-    return F.regexp_replace(x, r"(?<!\.)\.\.(?!\.)", ".")
+    return guarded(x, lambda t: F.contains(t, F.lit("..")), lambda t: F.regexp_replace(t, r"(?<!\.)\.\.(?!\.)", "."))
 
 
 def strip_leading(x: Column) -> Column:
@@ -42,34 +47,51 @@ ABBREVIATIONS = {
 UNITS = r"мм|см|дм|км|кг|мг|мл|мин|кВт|Вт|Гц|Па|МПа|дБ|об/мин|м|г|л|с|ч|т|А|В|К|%|p\.|pp\.|pages?|с\.|стр\."
 
 
+def either_case(text: str) -> str:
+    """Pattern of a fixed text in either case; spelled out, as matching by Unicode's case rules is much slower."""
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else rf"\{c}" if c == "." else c for c in text)
+
+
 def abbreviation(short: str) -> str:
-    """Pattern of an abbreviation, with or without a blank after its inner dots."""
-    plain = short.replace(".", r"\.")
-    inner = "".join(". " if c == "." and k + 1 < len(short) else c for k, c in enumerate(short)).replace(".", r"\.")
-    return f"(?:{inner}|{plain})"
+    """Pattern of an abbreviation in either case, with or without a blank after its inner dots."""
+    head, dot, rest = short.partition(".")
+    return either_case(head + dot) + (f" ?{either_case(rest)}" if rest else "")
 
 
 def expand_abbreviations(x: Column, words: Mapping[str, str] = ABBREVIATIONS) -> Column:
-    for short, long in words.items():
-        x = F.regexp_replace(x, "(?iu)" + abbreviation(short), long)
-    return x
+    """All abbreviations in one pass from left to right; where several could begin, the first of ``words``."""
+    starts = "".join(sorted({c for short in words for c in (short[0].lower(), short[0].upper())}))
+    seconds = "".join(sorted({either_case(short[1]) for short in words}))
+    pattern = f"(?=[{starts}][{seconds}])(?:" + "|".join(map(abbreviation, words)) + ")"  # few places pass the first look
+    long = F.create_map(*[F.lit(s) for pair in words.items() for s in pair])
+
+    def expand(t: Column) -> Column:
+        full = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: long[F.replace(F.lower(m), F.lit(". "), F.lit("."))])
+        return F.array_join(F.zip_with(F.split(t, pattern), full, lambda piece, word: F.concat(piece, F.coalesce(word, F.lit("")))), "")
+
+    return guarded(x, lambda t: t.rlike(pattern), expand)
 
 
 def nbsp_before_units(x: Column, units: str = UNITS) -> Column:
     """A no-break space between a number and one of the units (alternatives of a pattern)."""
-    return F.regexp_replace(x, rf"(?iu)([0-9])\s+({units})(?=[\s.,;:!?\-)}}\]]|\z)", f"$1{NBSP}$2")
+    return guarded(x, lambda t: t.rlike(r"[0-9]\s"), lambda t: F.regexp_replace(t, rf"(?iu)([0-9])\s+({units})(?=[\s.,;:!?\-)}}\]]|\z)", f"$1{NBSP}$2"))
 
 
 def nbsp_after_initials(x: Column) -> Column:
     """No-break spaces between initials, and between them and the surname, in both alphabets."""
-    for big, small in (("А-ЯЁ", "а-яё"), ("A-Z", "a-z")):
-        x = F.regexp_replace(x, rf"([{big}])\.\s+([{big}])\.", f"$1.{NBSP}$2.")
-        x = F.regexp_replace(x, rf"([{big}])\.\s+([{big}][{small}]+)", f"$1.{NBSP}$2")
-    return x
+
+    def bind(t: Column) -> Column:
+        for big, small in (("А-ЯЁ", "а-яё"), ("A-Z", "a-z")):
+            t = F.regexp_replace(t, rf"([{big}])\.\s+([{big}])\.", f"$1.{NBSP}$2.")
+            t = F.regexp_replace(t, rf"([{big}])\.\s+([{big}][{small}]+)", f"$1.{NBSP}$2")
+        return t
+
+    return guarded(x, lambda t: t.rlike(r"[А-ЯЁA-Z]\.\s+[А-ЯЁA-Z]"), bind)
 
 
 def quotes_and_dashes(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(x, '"([^"]+)"', "«$1»"), "—", "–")
+    quoted = guarded(x, lambda t: F.contains(t, F.lit('"')), lambda t: F.regexp_replace(t, '"([^"]+)"', "«$1»"))
+    return F.translate(quoted, "—", "–")
 
 
 def repair(x: Column) -> Column:
@@ -112,6 +134,25 @@ def mask(x: Column, patterns: Mapping[str, str]) -> Column:
     return x
 
 
+#: Personal data and what stands for it, in the order in which it is masked.
+PERSONAL = [
+    (r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", "[email]"),
+    (r"(?:\+7|8)[\s\-()]*[0-9][0-9\s\-()]{8,}", "[phone]"),
+    (r"\b[0-9]{4}\s?[0-9]{6}\b", "[passport]"),
+    (r"\b[0-9]{3}-[0-9]{3}-[0-9]{3}\s?[0-9]{2}\b", "[snils]"),
+    (r"(?iu)\bИНН[\s:]*[0-9]{10,12}\b", "ИНН [inn]"),
+    (r"\b[А-ЯЁ][а-яё]+\s+[А-ЯЁ]\.\s?[А-ЯЁ]\.\s?", "[ФИО] "),
+    (r"\b[А-ЯЁ][а-яё]+\s+[А-ЯЁ][а-яё]+\s+[А-ЯЁ][а-яё]+\b", "[ФИО]"),
+]
+
+
+def mask_personal(x: Column) -> Column:
+    """Mail, phone, passport, insurance and tax numbers and names replaced, in this order; a letter or digit beside a word is no boundary."""
+    for pattern, by in PERSONAL:
+        x = F.regexp_replace(x, pattern, by.replace("[", "\\["))
+    return x
+
+
 def is_numeric_cell(x: Column) -> Column:
     return F.trim(x).rlike(r"^[-+]?[0-9][0-9 .,]*%?$")
 

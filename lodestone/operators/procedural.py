@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A chunk's least and most rows, its best length, and what a cut scores more within so many rows of that.
@@ -87,14 +86,16 @@ def byte_chunks(documents: DataFrame, budget: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, part int, text string")
 
 
-def signed_tokens(df: DataFrame, columns: list[str], secret: bytes) -> DataFrame:
-    """Adds ``token``: HMAC-SHA256 over the colon-joined columns."""
+def keyed_digest(message: Column, secret: bytes) -> Column:
+    """HMAC-SHA256 of a text as lowercase hex: two nested digests over the padded key, all in the JVM."""
+    key = (secret if len(secret) <= 64 else hashlib.sha256(secret).digest()).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
 
-    @F.pandas_udf("string")
-    def sign(message: pd.Series) -> pd.Series:
-        return message.map(lambda m: hmac.new(secret, m.encode(), hashlib.sha256).hexdigest())
 
-    return df.withColumn("token", sign(F.concat_ws(":", *columns)))
+def signed_tokens(df: DataFrame, columns: list[str], secret: bytes) -> DataFrame:
+    """Adds ``token``: HMAC-SHA256 over the colon-joined columns."""
+    return df.withColumn("token", keyed_digest(F.concat_ws(":", *columns), secret))
 
 
 def inherited(styles: DataFrame, depth: int = 12) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as fx
 from ..operators import edits
 from ..sources.tables import paragraphs
 from .catalog import Catalog, Tables
@@ -125,4 +126,28 @@ def c14_rules_overlaid(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", rules.alias("r")).select("o_orderkey", "r.document.*", "r.text.*", "r.version")
 
 
+@query(_PLACED + f"a AS (SELECT *, lag(trim(text)) OVER (PARTITION BY doc_id ORDER BY idx) AS prev FROM r WHERE kind = 'p' AND style IN ('Heading1', 'Heading2') AND trim(text) <> '') SELECT doc_id, idx, style, md5(text) AS text_md5 FROM a WHERE prev IS NULL OR prev <> trim(text)")
+def n17_headings_without_repeats(t: Tables) -> DataFrame:
+    """Headings whose text isn't that of the heading before."""
+    headings = placed(t).where("kind = 'p' AND style IN ('Heading1', 'Heading2') AND trim(text) <> ''")
+    before = F.lag(F.trim("text")).over(Window.partitionBy("doc_id").orderBy("idx"))
+    kept = headings.withColumn("before", before).where(F.col("before").isNull() | (F.trim("text") != F.col("before")))
+    return kept.select("doc_id", "idx", "style", F.md5("text").alias("text_md5"))
+
+
+#: Personal data of each kind, put between the words of some lines.
+PRIVATE = "CASE (doc_id + idx) % 8 WHEN 0 THEN ' a.b@c-d.ru ' WHEN 1 THEN ' +7 (912) 345-67-89, ' WHEN 2 THEN ' 1234 567890 ' WHEN 3 THEN ' 123-456-789 01 ' WHEN 4 THEN ' инн: 123456789012 ' WHEN 5 THEN ' Иванов И. И., ' WHEN 6 THEN ' Петров Пётр Петрович ' ELSE ' ' END"
+_MASKS = [("(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}", "[email]"), ("(?:\\+7|8)[\\s\\-()]*[0-9][0-9\\s\\-()]{8,}", "[phone]"), ("\\b[0-9]{4}\\s?[0-9]{6}\\b", "[passport]"), ("\\b[0-9]{3}-[0-9]{3}-[0-9]{3}\\s?[0-9]{2}\\b", "[snils]"), ("(?i)(^|[^\\pL\\pN_])ИНН[\\s:]*[0-9]{10,12}\\b", "\\1ИНН [inn]"), ("(^|[^\\pL\\pN_])[А-ЯЁ][а-яё]+\\s+[А-ЯЁ]\\.\\s?[А-ЯЁ]\\.\\s?", "\\1[ФИО] "), ("(^|[^\\pL\\pN_])[А-ЯЁ][а-яё]+\\s+[А-ЯЁ][а-яё]+\\s+[А-ЯЁ][а-яё]+", "\\1[ФИО]")]
+_MASKED = f"replace(text, '. ', {PRIVATE})"
+for _pattern, _by in _MASKS:
+    _MASKED = f"regexp_replace({_MASKED}, '{_pattern}', '{_by}', 'g')"
+
+
+@query(LINES + f"m AS (SELECT doc_id, idx, {_MASKED} AS masked FROM p) SELECT doc_id, idx, md5(masked) AS masked_md5, contains(masked, '[') AS hit FROM m")
+def t22_seven_masks(t: Tables) -> DataFrame:
+    """Whole lines with personal data of seven kinds masked."""
+    raw = paragraphs(t.documents).selectExpr("doc_id", "idx", f"replace(text, '. ', {PRIVATE}) AS line")
+    return raw.select("doc_id", "idx", fx.mask_personal(F.col("line")).alias("masked")).select("doc_id", "idx", F.md5("masked").alias("masked_md5"), F.contains("masked", F.lit("[")).alias("hit"))
+
+
 QUERIES, ORACLE_SQL = catalog.queries, catalog.sql

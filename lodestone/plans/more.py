@@ -65,7 +65,11 @@ def t21_byte_budget_chunks(t: Tables) -> DataFrame:
     return procedural.byte_chunks(t.documents, 1000).select("doc_id", "part", F.octet_length("text").alias("bytes"))
 
 
-@query(None)
+#: The key of the signed tokens, padded as the two digests take it.
+_PADS = ["".join(f"\\x{b ^ pad:02X}" for b in b"test key".ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query(f"SELECT c_custkey, c_mktsegment, sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(c_custkey || ':' || c_mktsegment)))) AS token FROM customer")
 def t34_signed_tokens(t: Tables) -> DataFrame:
     return procedural.signed_tokens(t.customer.select("c_custkey", "c_mktsegment"), ["c_custkey", "c_mktsegment"], b"test key")
 

@@ -204,3 +204,40 @@ def renumber_captions(lines: DataFrame) -> DataFrame:
     after = F.when(as_table, separated(own_number(table_prefix(text), "Таблица", "table"))).when(as_figure, own_number(figure_prefix(text), "Рисунок", "figure")).otherwise(referring)
     changes = F.col("changes") & (trimmed(text) != "")
     return rows.select("doc_id", "idx", "type", F.coalesce(F.when(changes, after), text).alias("text"))
+
+
+#: Rows that may belong to a title page, how many it takes at least, and how far down they are looked for.
+TITLE_CANDIDATES, LEAST_CANDIDATES, TITLE_ROWS = ["body_text", "unknown"], 2, 10
+TITLE_FOOTER = r"^(?:г\.\s*)?[А-ЯЁ][а-яё\-]+\s+\d{4}\s*$"
+TITLE_SIGNATURE = r"подпись|оценка|дата|_{4,}|^\(.*\)$"
+TITLE_HEADER = r"(?iu)министерство|федеральное|университет|академия|институт|кафедра|факультет|департамент"
+#: Characters from which a row within a title page is the work's title.
+TITLE_LENGTH = 50
+
+
+def relabel_title_page(lines: DataFrame) -> DataFrame:
+    """doc_id, idx, text, type: body text above the first heading as parts of a title page.
+
+    The first rows, up to ten, before the first heading_1 or bibliography_title are looked at, in documents that have such a
+    heading not in their first row. If one of them is labelled as a title page already, or fewer than two are candidates,
+    nothing changes. A candidate with text is a footer (town and year), an annotation (signature, date, a line to fill in), a
+    header (an institution's words), else within the page info or, if long, the title, and at either end plain title_page.
+    """
+    order, whole = Window.partitionBy("doc_id").orderBy("idx"), Window.partitionBy("doc_id")
+    rows = lines.select("doc_id", "idx", "text", "type").withColumn("place", F.row_number().over(order) - 1)
+    first = F.min(F.when(F.col("type").isin("heading_1", "bibliography_title"), F.col("place"))).over(whole)
+    rows = rows.withColumn("range", F.when(first.isNotNull(), F.least(first, F.lit(TITLE_ROWS)))).withColumn("inside", F.coalesce(F.col("place") < F.col("range"), F.lit(False)))
+    candidate = F.col("inside") & F.coalesce(F.col("type").isin(TITLE_CANDIDATES), F.lit(False))
+    labelled = F.coalesce(F.bool_or(F.col("inside") & F.col("type").startswith("title_page")).over(whole), F.lit(False))
+    changes = candidate & ~labelled & (F.count_if(candidate).over(whole) >= LEAST_CANDIDATES)
+    text = trimmed(F.col("text"))
+    between = (F.col("place") > 0) & (F.col("place") < F.col("range") - 1)
+    part = (
+        F.when(text.rlike(TITLE_FOOTER), "title_page_footer")
+        .when(text.rlike(TITLE_SIGNATURE), "title_page_annotation")
+        .when(text.rlike(TITLE_HEADER), "title_page_header")
+        .when(between & (F.length(text) < TITLE_LENGTH), "title_page_info")
+        .when(between, "title_page_title")
+        .otherwise("title_page")
+    )
+    return rows.select("doc_id", "idx", "text", F.when(changes & (text != ""), part).otherwise(F.col("type")).alias("type"))

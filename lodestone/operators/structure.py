@@ -232,3 +232,30 @@ def table_rows(elements: DataFrame, cells: DataFrame) -> DataFrame:
     return tables.join(grids, ["key", "block"], "left").select(
         "key", "block", "table", "n_rows", F.coalesce("rows", empty).alias("rows"), F.coalesce("columns", F.lit(0)).alias("columns"), F.coalesce("merged", F.lit(False)).alias("merged"),
         F.coalesce(F.col("header") == F.col("first"), F.lit(False)).alias("has_header"), "width_type", "width", "before")
+
+
+def markdown_lines(paragraphs: DataFrame, tables: DataFrame) -> DataFrame:
+    """key, block, line, text: the body as markdown, headings by style, tables as piped rows padded to the widest.
+
+    A pipe within a cell is escaped. Paragraphs of text boxes and cells have no lines of their own.
+    """
+    level = F.regexp_extract(F.coalesce("style", F.lit("")), "(?i)^Heading([1-6])$", 1)
+    text = F.when(level != "", F.concat(F.repeat(F.lit("#"), level.try_cast("int")), F.lit(" "), "text")).otherwise(F.col("text"))
+    written = paragraphs.where("in_body").select("key", "block", F.col("p").alias("line"), text.alias("text"))
+    cells = F.transform("rows", lambda r: F.concat(r, F.array_repeat(F.lit(""), F.col("columns") - F.size(r))))
+    piped = F.transform(cells, lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |")))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.col("columns")))
+    whole = F.concat(F.slice(piped, 1, 1), F.array(rule), F.slice(piped, F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0))))
+    laid = tables.where(F.size("rows") > 0).select("key", "block", F.posexplode(whole).alias("line", "text"))
+    return written.unionByName(laid)
+
+
+def markdown_statistics(lines: DataFrame, elements: DataFrame) -> DataFrame:
+    """key, headings of the first three levels, lines with text, words, formulas."""
+    text = F.col("text")
+    level = lambda n: F.count_if(text.rlike(f"^#{{{n}}}\\s")).alias(f"h{n}")
+    words = F.regexp_count(text, F.lit(r"\S+"))
+    counts = lines.groupBy("key").agg(level(1), level(2), level(3), F.count_if(text.rlike(r"\S")).alias("paragraphs"), F.sum(words).alias("words"))
+    formulas = of_document(elements).groupBy("key").agg(F.count_if(F.col("path").rlike("(^|/)m:oMath$")).alias("formulas"))
+    filled = formulas.join(counts, "key", "left").na.fill(0)
+    return filled.select("key", "h1", "h2", "h3", "paragraphs", "words", "formulas")

@@ -68,6 +68,21 @@ def n11_headings_merged(t: Tables) -> DataFrame:
     return folds.merge_headings(lines).select("doc_id", "idx", "type", F.md5("text").alias("text_md5"), "merged")
 
 
+FRONT_TYPE = "CASE WHEN (doc_id + idx) % 9 = 7 AND idx > 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'heading_1' ELSE 'bibliography_title' END WHEN idx = 2 AND doc_id % 11 = 0 THEN 'title_page_info' WHEN (doc_id * 3 + idx) % 5 = 1 THEN 'list_item' WHEN (doc_id * 3 + idx) % 5 = 2 THEN 'unknown' ELSE 'body_text' END"
+FRONT = "CASE (doc_id * 7 + idx * 3) % 10 WHEN 0 THEN 'Москва 2026' WHEN 1 THEN 'г. Санкт-Петербург 1999 ' WHEN 2 THEN 'Дата: ______' WHEN 3 THEN '(подпись)' WHEN 4 THEN 'КАФЕДРА ' || doc_id WHEN 5 THEN 'Группа ' || idx WHEN 6 THEN ' ' ELSE text END"
+
+
+@query(LINES + f"""l AS (SELECT doc_id, idx, {FRONT_TYPE} AS type, {FRONT} AS text FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS place FROM l),
+h AS (SELECT doc_id, least(10, min(place) FILTER (type IN ('heading_1', 'bibliography_title'))) AS range, FROM r GROUP BY doc_id HAVING count(*) FILTER (type IN ('heading_1', 'bibliography_title')) > 0),
+d AS (SELECT h.doc_id, range FROM h JOIN r ON r.doc_id = h.doc_id AND place < range GROUP BY 1, 2 HAVING count(*) FILTER (type LIKE 'title_page%') = 0 AND count(*) FILTER (type IN ('body_text', 'unknown')) >= 2)
+SELECT doc_id, idx, md5(text) AS text_md5, CASE WHEN range IS NULL OR place >= range OR type NOT IN ('body_text', 'unknown') OR trim(text) = '' THEN type WHEN regexp_matches(trim(text), '{folds.TITLE_FOOTER}') THEN 'title_page_footer' WHEN regexp_matches(trim(text), '{folds.TITLE_SIGNATURE}') THEN 'title_page_annotation' WHEN regexp_matches(trim(text), '{folds.TITLE_HEADER.replace("(?iu)", "(?i)")}') THEN 'title_page_header'
+WHEN place BETWEEN 1 AND range - 2 THEN CASE WHEN length(trim(text)) < 50 THEN 'title_page_info' ELSE 'title_page_title' END ELSE 'title_page' END AS type FROM r LEFT JOIN d USING (doc_id)""")
+def n5_title_pages_relabelled(t: Tables) -> DataFrame:
+    lines = paragraphs(t.documents).selectExpr("doc_id", "idx", f"{FRONT_TYPE} AS type", f"{FRONT} AS text")
+    return folds.relabel_title_page(lines).select("doc_id", "idx", F.md5("text").alias("text_md5"), "type")
+
+
 CAPTIONED_TYPE = "CASE (3 * doc_id + 5 * idx) % 7 WHEN 0 THEN 'figure_caption' WHEN 1 THEN 'table_caption' WHEN 5 THEN NULL WHEN 6 THEN 'heading_1' WHEN 4 THEN 'quote' ELSE 'body_text' END"
 CAPTIONED = f"""CASE (3 * doc_id + 5 * idx) % 7
 WHEN 0 THEN CASE {K} % 4 WHEN 0 THEN 'Рис. ' || {K} % 3 || ' – ' || text WHEN 1 THEN 'Рисунок ' || {K} % 5 || ' ' || text WHEN 2 THEN 'рис' || {K} % 4 || '.1 x' ELSE text END

@@ -83,3 +83,19 @@ def test_documents_in_order_stay_and_other_words_are_left(spark):
     assert renumbered(spark, *same) == [x for _, x in same]
     assert renumbered(spark, ("body_text", "барис 1, рис 2"), ("figure_caption", "Рис. 1")) == ["барис 1, рисунок 2", "Рисунок 1"]
     assert renumbered(spark, (None, "Рисунок 4 x"), ("quote", "см. рисунок 4"), ("unknown", "рисунок 4")) == ["Рисунок 1 x", "см. рисунок 1", "рисунок 1"]  # told by its words
+
+
+def titled(spark, *lines):
+    df = spark.createDataFrame([(1, i, *x) for i, x in enumerate(lines)], "doc_id long, idx int, type string, text string")
+    return [r.type.removeprefix("title_page_") for r in folds.relabel_title_page(df).orderBy("idx").collect()]
+
+
+def test_title_pages(spark):
+    b, h = "body_text", ("heading_1", "Введение")
+    page = [(b, "Министерство образования"), (b, "Группа 1"), ("list_item", "x"), (b, "т" * 50), (b, " "), (b, "Дата: ____"), (b, "(ФИО)"), (b, "Москва 2026")]
+    assert titled(spark, *page, h, (b, "text")) == ["header", "info", "list_item", "title", b, "annotation", "annotation", "footer", "heading_1", b]
+    assert titled(spark, *page) == [t for t, _ in page]  # no heading
+    assert titled(spark, h, *page)[1:] == [t for t, _ in page] and titled(spark, (b, "one"), h) == [b, "heading_1"]
+    assert titled(spark, ("title_page", "x"), *page, h)[1:-1] == [t for t, _ in page]  # labelled already
+    assert titled(spark, (b, "first"), (b, "last"), ("bibliography_title", "x")) == ["title_page", "title_page", "bibliography_title"]
+    assert titled(spark, *[(b, "x")] * 12, h) == ["title_page", *["info"] * 8, "title_page", b, b, "heading_1"]

@@ -196,3 +196,11 @@ def test_without_labels_a_title_page_is_told_by_words(reports):
     assert reports["heuristic"]["structure.titlePage"].passed and not reports["no words"]["structure.titlePage"].passed
     assert reports["heuristic"]["text.fontFamily"].n_evaluated == 0
     assert reports["heuristic"]["preservation.contentLoss"].severity == "critical"
+
+
+def test_markdown_of_a_document(spark):
+    e = elements(spark, p("Title", '<w:pStyle w:val="Heading1"/>') + TABLE.replace("wide", "a|b") + p("x <m> y".replace("<m>", "&lt;m&gt;"), more="<m:oMath xmlns:m='m'/>") + p(""))
+    runs = st.with_effective_values(st.run_rows(e), st.style_values(e))
+    lines = st.markdown_lines(st.paragraph_rows(runs), st.table_rows(e, st.cell_rows(e)))
+    assert [r.text for r in lines.orderBy("block", "line").collect()] == ["# Title", "| a\\|b | tall |  |", "|---|---|---|", "| ab c |  |  |", "|  |  |  |", "x <m> y", ""]
+    assert st.markdown_statistics(lines, e).drop("key").collect() == [(1, 0, 0, 6, 22, 1)]

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import blocks, edited, folded, marked, more, ordered, package, payments, quality, relational, repairs, scans, state, text
+from .plans import blocks, edited, files, folded, marked, more, ordered, package, payments, quality, relational, repairs, scans, state, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (relational, ordered, blocks, text, state, quality, package, folded, marked, payments, edited, more, repairs, scans):
+for _module in (relational, ordered, blocks, text, state, quality, package, folded, marked, payments, edited, files, more, repairs, scans):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

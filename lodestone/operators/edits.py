@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -203,6 +204,66 @@ def normal_cells(cells: DataFrame, font: str = "Times New Roman", least: float =
     return cells.withColumns({"alignment": F.when(F.col("row") == 0, header).when(numeric, "center").otherwise(other), "font": F.lit(font), "size": size})
 
 
+#: Characters of an anchor that are looked for, and how many it needs; the heading of tables that found no place (fixed values).
+ANCHOR_MOST, ANCHOR_LEAST, ORPHANS = 50, 8, "# Приложение А. Таблицы"
+
+
+def normal_line(x: Column) -> Column:
+    """Lower case, without marks of markdown, blanks as one."""
+    x = F.regexp_replace(F.regexp_replace(F.translate(x, "\t\u00a0", "  "), r"[*_`]+", ""), r"^#+\s*", "")
+    return F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
+
+
+def anchored(lines: DataFrame, anchors: DataFrame) -> DataFrame:
+    """doc_id, n, line: the line of each anchor, the first that holds its text and that no anchor before has taken; else null.
+
+    Both are compared by ``normal_line``, an anchor by its first 50 characters; one of fewer than 8 finds no line. ``lines``:
+    doc_id, idx, text; ``anchors``: doc_id, n (their order), text. A document's lines are searched as one string, so a search
+    costs one scan; what is taken depends on the anchors before, so a document's anchors are taken in one go.
+    """
+
+    def match(key: tuple, asked: pa.Table, given: pa.Table) -> pa.Table:
+        given, asked = given.sort_by("idx"), asked.sort_by("n")
+        norms = given["norm"].to_pylist()
+        starts, at = [], 0
+        for x in norms:
+            starts.append(at)
+            at += len(x) + 1
+        whole, used, found = "\n".join(norms), set(), []
+        for anchor in asked["norm"].to_pylist():
+            place = whole.find(anchor) if len(anchor) >= ANCHOR_LEAST else -1
+            while place >= 0:
+                line = bisect_right(starts, place) - 1
+                if line not in used:
+                    break
+                place = whole.find(anchor, starts[line + 1]) if line + 1 < len(starts) else -1
+            if place >= 0:
+                used.add(line)
+            found.append(given["idx"][line].as_py() if place >= 0 else None)
+        return pa.table([asked["doc_id"], asked["n"], pa.array(found, pa.int32())], names=["doc_id", "n", "line"])
+
+    asked = anchors.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n").cast("int").alias("n"), F.left(normal_line(F.col("text")), F.lit(ANCHOR_MOST)).alias("norm"))
+    given = lines.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("idx").cast("int").alias("idx"), normal_line(F.col("text")).alias("norm"))
+    return asked.groupBy("doc_id").cogroup(given.groupBy("doc_id")).applyInArrow(match, "doc_id long, n int, line int")
+
+
+def tables_log(lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """Edits that put each table's rows behind the line of its anchor, and those without under a heading at the end.
+
+    ``tables``: doc_id, n, text (the paragraph before the table), rows (array of markdown lines). A document without lines gets none.
+    """
+    placed = tables.join(anchored(lines, tables), ["doc_id", "n"])
+    blank = F.array(F.lit(""))
+    inserted = placed.where("line IS NOT NULL").select("doc_id", "n", F.col("line").alias("idx"), F.concat(blank, "rows", blank).alias("made"))
+    end = lines.groupBy("doc_id").agg(F.max("idx").alias("idx"))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("n")) == 1
+    lost = placed.where("line IS NULL").join(end, "doc_id").withColumn("head", F.when(first, F.array(F.lit(""), F.lit(ORPHANS), F.lit(""))).otherwise(blank))
+    lost = lost.select("doc_id", (F.col("n") + (1 << 30)).alias("n"), "idx", F.concat("head", "rows").alias("made"))
+    each = inserted.unionByName(lost).select("doc_id", "idx", "n", F.posexplode("made").alias("k", "text"))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "idx").orderBy("n", "k"))
+    return each.select("doc_id", "idx", F.lit(AFTER).alias("op"), rank.alias("rank"), "text")
+
+
 # --- Overlay of defaults ----------------------------------------------------------------------------------------------
 
 Defaults = Mapping[str, object]

@@ -135,6 +135,23 @@ def n17_headings_without_repeats(t: Tables) -> DataFrame:
     return kept.select("doc_id", "idx", "style", F.md5("text").alias("text_md5"))
 
 
+#: What an anchor says of its line: the same, marked up, in capitals with blanks, too little, or something else.
+ANCHORED = "CASE (doc_id + 2 * n) % 6 WHEN 0 THEN text WHEN 1 THEN '## __' || text || '__' WHEN 2 THEN replace(text, ' ', '  ') WHEN 3 THEN left(text, 7) WHEN 4 THEN 'never ' || text ELSE text END"
+
+
+@query(LINES.replace("WITH p", "WITH RECURSIVE p") + f"""a AS (SELECT doc_id, idx AS n, {ANCHORED.replace(' n)', ' idx)')} AS text FROM p WHERE (doc_id + idx) % 3 = 0),
+m AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i, left(lower(trim(regexp_replace(regexp_replace(regexp_replace(translate(text, chr(9) || chr(160), '  '), '[*_`]+', '', 'g'), '^#+\\s*', ''), '\\s+', ' ', 'g'))), 50) AS norm FROM a),
+l AS (SELECT doc_id, list({{'idx': idx, 'norm': lower(trim(regexp_replace(regexp_replace(regexp_replace(translate(text, chr(9) || chr(160), '  '), '[*_`]+', '', 'g'), '^#+\\s*', ''), '\\s+', ' ', 'g')))}} ORDER BY idx) AS lines FROM p GROUP BY doc_id),
+r AS (SELECT doc_id, 0::BIGINT AS i, NULL::INT AS n, NULL::INT AS line, []::INT[] AS used, lines FROM l
+UNION ALL SELECT doc_id, i, n, line, CASE WHEN line IS NULL THEN used ELSE list_append(used, line) END, lines FROM (SELECT r.doc_id, m.i, m.n, r.used, r.lines, CASE WHEN length(m.norm) >= 8 THEN list_filter(r.lines, lambda x: NOT list_contains(r.used, x.idx) AND contains(x.norm, m.norm))[1].idx END AS line FROM r JOIN m ON m.doc_id = r.doc_id AND m.i = r.i + 1))
+SELECT doc_id, n, line FROM r WHERE i > 0""")
+def j14_anchors_to_lines(t: Tables) -> DataFrame:
+    """Every third line as the anchor of a table, more or less as it stands, and the line that it takes."""
+    lines = paragraphs(t.documents)
+    anchors = lines.where("(doc_id + idx) % 3 = 0").select("doc_id", F.col("idx").alias("n"), "text").selectExpr("doc_id", "n", f"{ANCHORED} AS text")
+    return edits.anchored(lines, anchors)
+
+
 #: Personal data of each kind, put between the words of some lines.
 PRIVATE = "CASE (doc_id + idx) % 8 WHEN 0 THEN ' a.b@c-d.ru ' WHEN 1 THEN ' +7 (912) 345-67-89, ' WHEN 2 THEN ' 1234 567890 ' WHEN 3 THEN ' 123-456-789 01 ' WHEN 4 THEN ' инн: 123456789012 ' WHEN 5 THEN ' Иванов И. И., ' WHEN 6 THEN ' Петров Пётр Петрович ' ELSE ' ' END"
 _MASKS = [("(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}", "[email]"), ("(?:\\+7|8)[\\s\\-()]*[0-9][0-9\\s\\-()]{8,}", "[phone]"), ("\\b[0-9]{4}\\s?[0-9]{6}\\b", "[passport]"), ("\\b[0-9]{3}-[0-9]{3}-[0-9]{3}\\s?[0-9]{2}\\b", "[snils]"), ("(?i)(^|[^\\pL\\pN_])ИНН[\\s:]*[0-9]{10,12}\\b", "\\1ИНН [inn]"), ("(^|[^\\pL\\pN_])[А-ЯЁ][а-яё]+\\s+[А-ЯЁ]\\.\\s?[А-ЯЁ]\\.\\s?", "\\1[ФИО] "), ("(^|[^\\pL\\pN_])[А-ЯЁ][а-яё]+\\s+[А-ЯЁ][а-яё]+\\s+[А-ЯЁ][а-яё]+", "\\1[ФИО]")]

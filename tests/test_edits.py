@@ -130,3 +130,17 @@ def test_overlay_keeps_null_false_and_missing_apart(spark):
     assert got[2] == DEFAULTS | {"document": d | {"margin": None}, "lists": {"deep": {"mark": "*"}}}
     assert got[3] == DEFAULTS | {"document": d | {"margin": None}, "text": {"size": 12.0}}
     assert got[4] == DEFAULTS
+
+
+def test_anchors_take_lines_once_and_orphans_go_to_the_end(spark):
+    lines = [(1, i, t) for i, t in enumerate(["Intro", "## __The results__ of it", "the  RESULTS of it", "short", "end of the text"])] + [(2, 0, "nothing here")]
+    tables = [(1, 0, "The results of it"), (1, 1, "the results\tof it"), (1, 2, "The results of it"), (1, 3, "short"), (1, 4, "end of the text"), (2, 0, "absent anchor")]
+    given = spark.createDataFrame(lines, "doc_id long, idx int, text string")
+    asked = spark.createDataFrame([(d, n, t, [f"| {d}.{n} |", "|---|"]) for d, n, t in tables], "doc_id long, n int, text string, rows array<string>")
+    assert {(r.doc_id, r.n): r.line for r in edits.anchored(given, asked).collect()} == {(1, 0): 1, (1, 1): 2, (1, 2): None, (1, 3): None, (1, 4): 4, (2, 0): None}
+    got = edits.apply_log(given, edits.tables_log(given, asked))
+    assert [r.text for r in got.where("doc_id = 1").orderBy("idx").collect()] == [
+        "Intro", "## __The results__ of it", "", "| 1.0 |", "|---|", "", "the  RESULTS of it", "", "| 1.1 |", "|---|", "", "short", "end of the text", "", "| 1.4 |", "|---|", "",
+        "", edits.ORPHANS, "", "| 1.2 |", "|---|", "", "| 1.3 |", "|---|",
+    ]
+    assert [r.text for r in got.where("doc_id = 2").orderBy("idx").collect()] == ["nothing here", "", edits.ORPHANS, "", "| 2.0 |", "|---|"]

@@ -204,3 +204,28 @@ def test_markdown_of_a_document(spark):
     lines = st.markdown_lines(st.paragraph_rows(runs), st.table_rows(e, st.cell_rows(e)))
     assert [r.text for r in lines.orderBy("block", "line").collect()] == ["# Title", "| a\\|b | tall |  |", "|---|---|---|", "| ab c |  |  |", "|  |  |  |", "x <m> y", ""]
     assert st.markdown_statistics(lines, e).drop("key").collect() == [(1, 0, 0, 6, 22, 1)]
+
+
+def test_small_parts_share_batches():
+    """Rows of many small parts leave a task in few batches, and with maps of attributes as they were."""
+    import pyarrow as pa
+
+    rows = [markup.elements_of(str(i), st.DOCUMENT, b'<w:document><w:body><w:p a="1" b="2"/><w:p/></w:body></w:document>') for i in range(100)]
+    batches = list(markup._in_batches(some for part in rows for some in part))
+    assert len(batches) == 1 and batches[0].num_rows == 400 and pa.types.is_map(batches[0].schema.field("attrs").type)
+    assert batches[0].column("attrs").to_pylist()[:2] == [[("a", "1"), ("b", "2")], []]
+
+
+def test_documents_are_parsed_once(spark):
+    """The parts of a structure read written element rows; none parses the documents again."""
+    import __spark_entry__ as entry
+
+    for name in ("s5_s6_typed_paragraphs", "s5_sections", "s7_merged_tables", "s8_markdown_statistics", "a16_document_scores"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan, name
+
+
+def test_runs_in_nested_wrappers_are_own(spark):
+    e = elements(spark, "<w:p><w:ins><w:hyperlink><w:r><w:rPr><w:b/></w:rPr><w:t>in</w:t></w:r></w:hyperlink></w:ins><w:sdt><w:r><w:t>out</w:t></w:r></w:sdt></w:p>")
+    runs = {r.text: (r.own, r.direct, r.bold) for r in st.run_rows(e).where("r is not null").collect()}
+    assert runs["in"] == (True, False, True) and not any(own for text, (own, _, _) in runs.items() if text != "in")

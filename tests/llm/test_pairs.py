@@ -234,6 +234,32 @@ def test_line_dedup_links_many_small_clusters_that_share_boilerplate(spark, monk
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_lines_apart_in_large_buckets_meet_whenever_signatures_allow(spark, monkeypatch):
+    """Signatures that share much with many: every pair that may be a link is a candidate, in small buckets and over blocks of large ones."""
+    monkeypatch.setattr(line_dedup, "SMALL_BUCKET", 3)
+    monkeypatch.setattr(line_dedup, "BLOCK", 8)
+    rng = random.Random(7)
+    common_to_all, some = range(5), [rng.sample(range(100, 400), 6) for _ in range(12)]
+    signatures = []
+    for i in range(120):
+        held = [*common_to_all, *rng.choice(some)][: rng.choice([11, 9, 8, 7])]
+        size = rng.choice([12, 12, 11, 10, 7, 3, 1])
+        signatures.append(sorted({*rng.sample(held, min(size, rng.randrange(1, len(held) + 1))), *rng.sample(range(1000, 10**6), size)})[:size])
+    signatures = [rng.sample(x, len(x)) for x in signatures]
+    lines = spark.createDataFrame(list(enumerate(signatures)), "line_id long, minima array<int>")
+    components = [i // 2 for i in range(len(signatures))]
+    apart = spark.createDataFrame(list(enumerate(components)), "line_id long, component long")
+
+    def may(a, b):
+        less, more = sorted((len(a), len(b)))
+        return 12 * len({*a} & {*b}) >= 5 * less and (more == less == 12 or 10 * less >= 8 * more)
+
+    want = {(i, j) for j in range(len(signatures)) for i in range(j) if components[i] != components[j] and may(signatures[i], signatures[j])}
+    got = [tuple(r) for r in line_dedup.pairs_apart(apart, lines).collect()]
+    assert len(want) > 100 and want <= set(got) and len(got) == len(set(got))
+    assert all(a < b and components[a] != components[b] and 12 * len({*signatures[a]} & {*signatures[b]}) >= 5 * min(len(signatures[a]), len(signatures[b])) for a, b in got)
+
+
 def test_line_bands_find_links_at_the_threshold(spark):
     """Recall over pairs of a similarity from 0.8 to 0.86, found by shingles made here; the rest is left to chance."""
     rng = random.Random(14)

@@ -7,7 +7,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+
+from ..sources.arrow import mapped
 from pyspark.sql import functions as F
 
 #: A chunk's least and most rows, its best length, and what a cut scores more within so many rows of that.
@@ -21,37 +24,36 @@ def chunks(paragraphs: DataFrame) -> DataFrame:
     A cut depends on the one before, so a document is cut in one go, by its scores alone; documents are independent.
     """
 
-    def cut(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
-        scores = group["score"].tolist()
-        ids, start, number = [], 0, 0
+    def cut(doc_id: int, places: list[int], scores: list[int]) -> Iterator[tuple]:
+        start, number = 0, 0
         while start < len(scores):
             end = len(scores)
             if end - start > MOST:
                 end = max(range(start + LEAST, start + MOST), key=lambda i: (scores[i] + BONUS * (abs(i - start - BEST) <= NEAR), -i))
-            ids += [number] * (end - start)
+            yield from ((doc_id, idx, number) for idx in places[start:end])
             start, number = end, number + 1
-        return pd.DataFrame({"doc_id": group["doc_id"], "idx": group["idx"], "chunk": ids})
 
-    return paragraphs.select("doc_id", "idx", "score").groupBy("doc_id").applyInPandas(cut, "doc_id long, idx int, chunk int")
+    rows = F.sort_array(F.collect_list(F.struct("idx", "score"))).alias("rows")
+    grouped = paragraphs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(rows).select("doc_id", "rows.idx", "rows.score")
+    return mapped(grouped, cut, {"doc_id": pa.int64(), "idx": pa.int32(), "chunk": pa.int32()})
 
 
 def greedy_matches(anchors: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, anchor and line: each anchor in order takes the first unused line that contains its text; else null.
 
-    Both sides of a document are cogrouped; a line once taken is gone for later anchors.
+    Both sides of a document are gathered by one shuffle; a line once taken is gone for later anchors.
     """
 
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free = list(zip(right["idx"], right["text"])) if len(right) else []
-        free.sort()
-        rows = []
-        for doc_id, idx, text in sorted(zip(left["doc_id"], left["idx"], left["text"]), key=lambda r: r[1]):
-            hit = next((k for k, (_, t) in enumerate(free) if text in t), None)
-            rows.append((doc_id, idx, None if hit is None else free.pop(hit)[0]))
-        return pd.DataFrame(rows, columns=["doc_id", "anchor", "line"]).astype({"line": "Int32"})
+    def match(doc_id: int, places: list[int], texts: list[str], idx: list[int], text: list[str]) -> Iterator[tuple]:
+        free = list(zip(idx, text))
+        for place, wanted in zip(places, texts):
+            hit = next((k for k, (_, t) in enumerate(free) if wanted in t), None)
+            yield doc_id, place, None if hit is None else free.pop(hit)[0]
 
-    return anchors.groupBy("doc_id").cogroup(lines.groupBy("doc_id")).applyInPandas(match, "doc_id long, anchor int, line int")
+    asks = lambda df, asks: df.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("idx", "text").alias("row"), F.lit(asks).alias("asks"))
+    gathered = [F.sort_array(F.collect_list(F.when(c, F.col("row")))).alias(n) for n, c in (("anchors", F.col("asks")), ("lines", ~F.col("asks")))]
+    both = asks(anchors, True).unionByName(asks(lines, False)).groupBy("doc_id").agg(*gathered)
+    return mapped(both.select("doc_id", *[F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in ("anchors", "lines") for c in ("idx", "text")]), match, {"doc_id": pa.int64(), "anchor": pa.int32(), "line": pa.int32()})
 
 
 def byte_chunks(documents: DataFrame, budget: int) -> DataFrame:
@@ -131,11 +133,10 @@ def pseudonym(word: str) -> str:
 
 def pseudonyms(documents: DataFrame) -> DataFrame:
     """doc_id and text with every word of four letters or more replaced."""
-    @F.pandas_udf("string")
-    def replace(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: t if t is None else re.sub(r"[^\W\d_]{4,}", lambda m: pseudonym(m.group()), t))
+    def replaced(doc_id: int, text: str | None) -> Iterator[tuple]:
+        yield doc_id, text if text is None else re.sub(r"[^\W\d_]{4,}", lambda m: pseudonym(m.group()), text)
 
-    return documents.select("doc_id", replace("text").alias("text"))
+    return mapped(documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text"), replaced, {"doc_id": pa.int64(), "text": pa.string()})
 
 
 def spread(runs: list[str], fixed: str) -> list[str]:
@@ -164,8 +165,7 @@ def spread(runs: list[str], fixed: str) -> list[str]:
 def redistribute(edits: DataFrame) -> DataFrame:
     """``edits`` (doc_id, runs, fixed) with the fixed text spread over the runs."""
 
-    @F.pandas_udf("array<string>")
-    def run(runs: pd.Series, fixed: pd.Series) -> pd.Series:
-        return pd.Series([spread(list(r), f) for r, f in zip(runs, fixed)])
+    def run(doc_id: int, runs: list[str], fixed: str) -> Iterator[tuple]:
+        yield doc_id, spread(runs, fixed)
 
-    return edits.select("doc_id", run("runs", "fixed").alias("runs"))
+    return mapped(edits.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "runs", "fixed"), run, {"doc_id": pa.int64(), "runs": pa.list_(pa.string())})

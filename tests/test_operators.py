@@ -198,3 +198,23 @@ def test_pseudonyms_keep_length_and_case():
     for word in ("Berlin", "HOUSE", "reading"):
         made = pseudonym(word)
         assert len(made) == len(word) and made.isupper() == word.isupper() and made[0].isupper() == word[0].isupper() and made == pseudonym(word)
+
+
+def test_results_leave_tasks_in_bounded_batches():
+    import pyarrow as pa
+
+    from lodestone.sources import arrow
+
+    schema = pa.schema({"a": pa.int64(), "t": pa.list_(pa.string())})
+    batches = list(arrow.packed(((k, ["x" * (1 << 20), None]) for k in range(10)), schema))
+    assert [b.num_rows for b in batches] == [4, 4, 2] and sum((b.column("a").to_pylist() for b in batches), []) == list(range(10))
+    assert [b.num_rows for b in arrow.packed(((k, []) for k in range(9000)), schema)] == [8192, 808]
+
+
+def test_plans_have_no_whole_groups_in_pandas(spark):
+    """Rows of a document reach a task as lists, not as a frame per document or a batch of whole texts at once."""
+    import __spark_entry__ as entry
+
+    for name in ("j14_greedy_anchor_matching", "n18_structural_chunks", "t23_pseudonyms", "t8_edited_runs", "s4_s6_docx_round_trip"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(x in plan for x in ("InPandas", "ArrowEvalPython", "PandasUDF")), name

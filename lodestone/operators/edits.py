@@ -4,30 +4,35 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator, Mapping
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.arrow import mapped
+
 # --- Replacements by offset -------------------------------------------------------------------------------------------
 
 
-def _standing(length: int, errors: list[dict]) -> list[dict]:
-    """The errors in order of offset without those that reach into one before or beyond the text."""
-    end, kept = 0, []
-    for e in sorted(errors, key=lambda e: (e["offset"], e["id"])):
-        if e["offset"] >= end and e["length"] >= 0 and e["offset"] + e["length"] <= length:
-            kept.append(e)
-            end = e["offset"] + e["length"]
-    return kept
+def _standing(length: int, offsets: list[int], lengths: list[int], ids: list[int], fixes: list[str | None]) -> Iterator[tuple]:
+    """offset, end, id and replacement of the errors in order of offset without those that reach into one before or beyond the text."""
+    end = 0
+    for offset, at, size, fix in sorted(zip(offsets, ids, lengths, fixes), key=itemgetter(0, 1)):
+        if offset >= end and size >= 0 and offset + size <= length:
+            end = offset + size
+            yield offset, end, at, fix
 
 
 def _with_errors(texts: DataFrame, errors: DataFrame) -> DataFrame:
-    """A row per text with its errors; texts without keep an empty list."""
-    usable = errors.where("doc_id IS NOT NULL AND offset >= 0")
-    by_doc = usable.groupBy("doc_id").agg(F.collect_list(F.struct("offset", "length", "id", "replacements")).alias("errors"))
-    return texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(by_doc, "doc_id", "left")
+    """doc_id, text and four lists: a row per text with its errors and their first replacements; texts without keep empty lists."""
+    fix = F.when(F.size("replacements") > 0, F.coalesce(F.get("replacements", F.lit(0)), F.lit("")))
+    usable = errors.where("doc_id IS NOT NULL AND offset >= 0").select("doc_id", F.struct("offset", "length", "id", fix.alias("fix")).alias("e"))
+    by_doc = usable.groupBy("doc_id").agg(F.collect_list("e").alias("errors"))
+    joined = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(by_doc, "doc_id", "left")
+    found = F.coalesce("errors", F.array().cast(by_doc.schema["errors"].dataType))
+    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[found[c].alias(c) for c in ("offset", "length", "id", "fix")])
 
 
 def corrected(texts: DataFrame, errors: DataFrame) -> DataFrame:
@@ -38,23 +43,18 @@ def corrected(texts: DataFrame, errors: DataFrame) -> DataFrame:
     inserts. A text is cut once, in the order of offsets. ``errors``: doc_id, offset, length, id, replacements. A null text is empty.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "errors"))):
-                pieces, end, applied = [], 0, 0
-                for e in _standing(len(text), found or []):
-                    if e["replacements"]:
-                        pieces += [text[end : e["offset"]], e["replacements"][0] or ""]
-                        end, applied = e["offset"] + e["length"], applied + 1
-                made.append((doc_id, "".join([*pieces, text[end:]]), applied))
-            columns = list(zip(*made)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int32()))], ["doc_id", "text", "applied"])
+    def run(doc_id: int, text: str, *found: list) -> Iterator[tuple]:
+        pieces, end, applied = [], 0, 0
+        for offset, till, _, fix in _standing(len(text), *found):
+            if fix is not None:
+                pieces += [text[end:offset], fix]
+                end, applied = till, applied + 1
+        yield doc_id, "".join([*pieces, text[end:]]), applied
 
-    return _with_errors(texts, errors).selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text", "errors").mapInArrow(run, "doc_id long, text string, applied int")
+    return mapped(_with_errors(texts, errors), run, {"doc_id": pa.int64(), "text": pa.string(), "applied": pa.int32()})
 
 
-SEGMENTS = "doc_id long, part int, start int, end int, error long, text string"
+SEGMENTS = {"doc_id": pa.int64(), "part": pa.int32(), "start": pa.int32(), "end": pa.int32(), "error": pa.int64(), "text": pa.string()}
 
 
 def segments(texts: DataFrame, errors: DataFrame) -> DataFrame:
@@ -63,25 +63,20 @@ def segments(texts: DataFrame, errors: DataFrame) -> DataFrame:
     Which errors stand is as in ``corrected``. An empty text has no segment.
     """
 
-    def cut(text: str, found: list[dict]) -> Iterator[tuple]:
+    def cut(text: str, found: tuple) -> Iterator[tuple]:
         end = 0
-        for e in _standing(len(text), found):
-            if e["offset"] > end:
-                yield end, e["offset"], None
-            end = e["offset"] + e["length"]
-            yield e["offset"], end, e["id"]
+        for offset, till, error, _ in _standing(len(text), *found):
+            if offset > end:
+                yield end, offset, None
+            end = till
+            yield offset, end, error
         if end < len(text):
             yield end, len(text), None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string())
-        for batch in batches:
-            for doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "errors"))):
-                made = [(doc_id, k, a, b, error, text[a:b]) for k, (a, b, error) in enumerate(cut(text, found or []))]
-                columns = list(zip(*made)) or [[]] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in SEGMENTS.split(", ")])
+    def run(doc_id: int, text: str, *found: list) -> Iterator[tuple]:
+        yield from ((doc_id, k, a, b, error, text[a:b]) for k, (a, b, error) in enumerate(cut(text, found)))
 
-    return _with_errors(texts, errors).selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text", "errors").mapInArrow(run, SEGMENTS)
+    return mapped(_with_errors(texts, errors), run, SEGMENTS)
 
 
 # --- Edit logs over ordered rows --------------------------------------------------------------------------------------

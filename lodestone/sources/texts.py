@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import structure
 from . import markup
+from .shared import materialise
 
 #: Types of files by their extension.
 TYPES = {"docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "pdf": "application/pdf", "txt": "text/plain"}
@@ -25,7 +26,7 @@ def text_of(files: DataFrame) -> DataFrame:
     """
     typed = files.select("path", "content", mime_by_name(F.col("path")).alias("type"))
     plain = typed.where(F.col("type") == TYPES["txt"]).select("path", F.make_valid_utf8(F.coalesce(F.col("content").cast("string"), F.lit(""))).alias("text"), F.lit(None).cast("string").alias("error"))
-    elements = markup.file_elements(typed.where(F.col("type") == TYPES["docx"]), "path")
+    elements = materialise(markup.file_elements(typed.where(F.col("type") == TYPES["docx"]), "path"), "elements")
     runs = structure.run_rows(elements).withColumn("own_size", F.col("size"))
     body = structure.paragraph_rows(runs).where("in_body").groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n").alias("text"))
     errors = elements.groupBy("key").agg(F.max("error").alias("error"))

@@ -286,6 +286,43 @@ def test_a_line_repeated_in_long_documents(spark):
     assert time.time() - start < 60
 
 
+def test_parity_sketches_never_rule_out_a_link(spark):
+    """Two sketches differ in no more bits than the sets in members; sets that differ much are told apart, so few non-links reach their texts."""
+    rng = random.Random(15)
+    sets = []
+    for n in (1, 9, 60, 250, 900):
+        for changed in (0, 0.05, 0.1, 0.2, 0.4):
+            a = {rng.randrange(-(2**63), 2**63) for _ in range(n)}
+            b = {x if rng.random() > changed else rng.randrange(-(2**63), 2**63) for x in a}
+            sets.append((sorted(a), sorted(b)))
+    df = spark.createDataFrame(sets, "a array<long>, b array<long>")
+    side = lambda c: F.struct(F.size(c).cast("long").alias("n"), line_dedup.parity(F.col(c)).alias("parity"))
+    rows = df.select("a", "b", side("a").alias("x"), side("b").alias("y")).withColumn("may", line_dedup.possible(F.col("x"), F.col("y"), ["n", "parity"])).collect()
+    for r in rows:
+        a, b = {*r.a}, {*r.b}
+        assert sum(bin((i ^ j) & (2**64 - 1)).count("1") for i, j in zip(r.x.parity, r.y.parity, strict=True)) <= len(a ^ b)
+        assert r.may or 100 * len(a & b) < 80 * len(a | b)
+    assert not any(r.may for r in rows if len(r.a) >= 60 and 100 * len({*r.a} & {*r.b}) < 60 * len({*r.a} | {*r.b}))
+
+
+def test_large_groups_of_near_lines_need_few_comparisons_of_texts(spark, monkeypatch):
+    """Copies of a line with changes of their own, some of them links: what is compared by text grows with the group, not with its square."""
+    rng = random.Random(16)
+    base = words(rng, 60)
+    texts = [" ".join(w if rng.random() > 0.06 else f"e{rng.randrange(10**6)}" for w in base) for _ in range(300)]
+    compared, real = [], line_dedup.linked
+
+    def linked(pairs, texts):
+        compared.append(line_dedup.likely(pairs, texts).count())
+        return real(pairs, texts)
+
+    monkeypatch.setattr(line_dedup, "linked", linked)
+    want = brute_lines(texts)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, texts)).collect()}
+    assert sum(got[i] != want[i] for i in range(len(texts))) <= 3
+    assert sum(compared) < 20 * len(texts)
+
+
 def test_line_dedup_keeps_columns_of_any_name(spark):
     rows = [(1, "one line here", "a", 1), (2, "one line here", "b", 2)]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, gone_id string, Gone_Places int"))

@@ -323,6 +323,18 @@ def test_large_groups_of_near_lines_need_few_comparisons_of_texts(spark, monkeyp
     assert sum(compared) < 20 * len(texts)
 
 
+def test_small_buckets_give_only_pairs_that_signatures_allow(spark):
+    """Lines that share a band and little else leave no rows, however many share it; links in the same buckets do."""
+    common, lines = [1, 2], []
+    for i in range(300):
+        own = [1000 * (i // 2) + 10 * k + (5000000 if k > 8 and i % 2 else 0) for k in range(3, 13)]
+        lines.append((i, 300, common + own))
+    table = spark.createDataFrame(lines, "line_id long, n long, minima array<int>")
+    buckets = table.select(F.floor(F.col("line_id") / 10).alias("key"), "line_id").withColumns({"n": F.lit(10), "hub": F.lit(0)})
+    got = sorted(tuple(r) for r in line_dedup.within_small(buckets, table).collect())
+    assert got == [(i, i + 1) for i in range(0, 300, 2)]
+
+
 def test_line_dedup_keeps_columns_of_any_name(spark):
     rows = [(1, "one line here", "a", 1), (2, "one line here", "b", 2)]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, gone_id string, Gone_Places int"))

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 #: Encoded matches of which a worker remembers the ids, and the longest that it remembers.
 CACHE, CACHE_CHARS = 1_000_000, 64
 #: States that are kept; at one more all are dropped but the one that the machine is in, and made again as needed.
-STATES = 100_000
+STATES = 200_000
 #: White space as the pattern's authors' engine has it; Python's also has four control characters.
 SPACE = r"\t-\r\x20\x85\xA0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
-#: The state before a text: one guess, nothing emitted, at the root of the trie.
-START = (((-1,), 0),)
+#: The state before a text: one guess, after no token, at the root of the trie.
+START = ((-1, 0),)
 
 
 class Transducer:
@@ -29,11 +29,12 @@ class Transducer:
     Merging by rank has a local description: a sequence of tokens is the encoding of its bytes if and only if each token
     encodes to itself and each adjacent pair encodes to that pair. So a nondeterministic machine can guess where tokens
     end: it walks the trie of tokens, and at a token it may emit it, if it may follow the one before, and return to the
-    root. A state of the deterministic machine is the set of guesses still open: for each, the tokens not yet emitted
-    and the place in the trie. What all guesses begin with is emitted; an open guess is never longer than the longest
-    token, so the lookahead is bounded. Of the last token emitted a state holds only what decides which may follow it, so
-    states recur across texts. They and their transitions are made when first needed; when too many are kept, they are
-    dropped and made anew, so the machine is the only path and its memory is bounded.
+    root. A state of the deterministic machine is the set of guesses still open: for each, the token before it and the
+    place in the trie; of that token it holds only what decides which may follow, so states recur within and across texts.
+    They and their transitions are made when first needed; when too many are kept, they are dropped and made anew, so the
+    machine is the only path and its memory is bounded. Of all ways to end a token at a byte one is valid, so a
+    transition gives out that token, and the tokens of a string are read back from its end, each beginning where the one
+    before it ends.
     """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
@@ -50,6 +51,7 @@ class Transducer:
                     self.ends.append(-1)
                 node = self.children[node][byte]
             self.ends[node] = i
+        self.lengths = {i: len(b) for b, i in ranks.items()}
         self.may_follow: dict[int, dict[int, bool]] = {}
         self.spines: tuple[dict[int, list[tuple[bytes, int]]], ...] = ({}, {})
         self.extends: dict[bytes, int] = {}  # the least rank of the tokens that a string begins
@@ -64,7 +66,7 @@ class Transducer:
         """Drop all states; the number of the given one, which stays."""
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.steps: list[dict[int, tuple[tuple[int, ...], int]]] = []
+        self.steps: list[dict[int, tuple[int, int]]] = []
         self.number(START)
         return self.number(state or START)
 
@@ -125,42 +127,42 @@ class Transducer:
             known[token] = bool(right) and not any((m := get(x + y)) is not None and m < x_until and m <= y_until for x, x_until in left for y, y_until in right)
         return known[token]
 
-    def step(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
-        guesses = []
+    def step(self, state: int, byte: int) -> tuple[int, int]:
+        """The token that ends with the byte, and the state after it."""
+        guesses = []  # by place in the trie, deepest first: an order that the set alone determines
         children, ends = self.children, self.ends
-        closed = None
-        for pending, node in self.states[state]:
+        closed = -1
+        for before, node in self.states[state]:
             child = children[node].get(byte)
             if child is None:
                 continue
             if children[child]:
-                guesses.append((pending, child))
+                guesses.append((before, child))
             token = ends[child]
-            if token >= 0 and closed is None and self.follows(pending[-1], token):
-                closed = (pending + (token,), 0)  # of all ways to end here one is valid
-        if closed is None:
+            if token >= 0 and closed < 0 and self.follows(before, token):
+                closed = token  # of all ways to end here one is valid
+        if closed < 0:
             raise ValueError(f"byte {byte} ends no token")
-        guesses.append(closed)  # by place in the trie, deepest first: an order that the set alone determines
-        common = 1  # the first is the last token emitted
-        first = guesses[0][0]
-        while all(len(p) > common and len(first) > common and p[common] == first[common] for p, _ in guesses):
-            common += 1
-        after = tuple([((self.last(p[common - 1]), *p[common:]), node) for p, node in guesses]) if common > 1 else tuple(guesses)
+        guesses.append((self.last(closed), 0))
+        after = tuple(guesses)
         if len(self.states) >= STATES and after not in self.numbers:
-            return first[1:common], self.forget(after)
-        self.steps[state][byte] = made = first[1:common], self.number(after)
+            return closed, self.forget(after)
+        self.steps[state][byte] = made = closed, self.number(after)
         return made
 
     def encode(self, text: bytes) -> tuple[int, ...]:
         if text in self.ranks:
             return (self.ranks[text],)  # the library takes a whole match that is a token, however it merges
-        out: list[int] = []
+        ending: list[int] = []
         state = 0
         for byte in text:
-            made = self.steps[state].get(byte) or self.step(state, byte)
-            out += made[0]
-            state = made[1]
-        return (*out, *self.states[state][-1][0][1:])
+            token, state = self.steps[state].get(byte) or self.step(state, byte)
+            ending.append(token)
+        out, end = [], len(text)
+        while end:
+            out.append(ending[end - 1])
+            end -= self.lengths[out[-1]]
+        return tuple(out[::-1])
 
 
 class Decoder:

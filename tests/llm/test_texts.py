@@ -110,6 +110,16 @@ def test_states_recur_and_stay_bounded(monkeypatch):
     assert len({machine.last(i) for i in machine.tokens}) < 0.9 * len(machine.tokens)  # several last tokens are one state
 
 
+def test_a_state_is_the_same_whatever_tokens_are_still_open():
+    """Strings of few different parts need few transitions, though what is open at a time differs between them."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTE_BPE, "rb"))}
+    machine, library, rng = bpe.Transducer(ranks), tiktoken_encoding(), random.Random(8)
+    parts = ["".join(rng.choice("etaoinshrdlu") for _ in range(5)) for _ in range(40)]
+    texts = ["".join(rng.choice(parts) for _ in range(6)) for _ in range(1500)]
+    assert all(list(machine.encode(t.encode())) == library.encode_ordinary(t) for t in texts)
+    assert sum(map(len, machine.steps)) < 8000
+
+
 def test_decoder_gives_whole_characters_only():
     decoder = bpe.Decoder({1: b"\xf0\x9f", 2: b"\x99", 3: b"\x82a", 4: b"\xc3", 5: b"\xff"})
     assert list(decoder.decode([1, 2, 3, 4])) == [b"", b"", "🙂a".encode(), b"", b"\xc3"]

@@ -30,9 +30,11 @@ WORTH = 0.001
 #: Blocks of rows that a task packs together from the second level on, where only underfull sequences' pieces are left.
 WIDER = 8
 #: Bytes of texts that are tokenised at once, unless one text has more, and chunks whose ids are gathered at once.
-SLICE, GATHER = 12 << 20, 1 << 20
+SLICE, GATHER = 4 << 20, 1 << 20
 #: Words of which a worker remembers the ids, and the longest that it remembers.
-CACHE, CACHE_CHARS = 1_000_000, 64
+CACHE, CACHE_CHARS = 250_000, 64
+#: New words, and chunks that aren't plain, that go to the tokenizer in one call: what it gives for each takes far more memory than its ids.
+LEARN = 2048
 #: Characters that normalisation leaves alone but for lower case, the same in Python and in the tokenizer.
 PLAIN = r"^[\x{21}-\x{7E}\x{A1}-\x{12F}\x{131}-\x{17F}]+$"
 #: The tokenizer's own split of such text into words.
@@ -82,7 +84,9 @@ def chunk_ids(tokenizer: str) -> Callable[[pa.Array], Pool]:
     def of_words(words: list[str]) -> list[bytes]:
         if len(known) > CACHE:
             known.clear()
-        new = learn(unseen) if (unseen := [w for w in words if w not in known and w != " "]) else {}
+        unseen, new = [w for w in words if w not in known and w != " "], {}
+        for k in range(0, len(unseen), LEARN):
+            new |= learn(unseen[k : k + LEARN])
         known.update((w, ids) for w, ids in new.items() if len(w) <= CACHE_CHARS)
         new[" "] = b""
         return [new[w] if w in new else known[w] for w in words]
@@ -96,7 +100,9 @@ def chunk_ids(tokenizer: str) -> Callable[[pa.Array], Pool]:
         words = pa.array(words_of(text), pa.string()).dictionary_encode()
         distinct = words.dictionary.to_pylist()
         pool, at = Pool.of(of_words(distinct)), words.indices.to_numpy()
-        rest = Pool.of([np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(chunks.filter(pc.invert(plain)).to_pylist(), add_special_tokens=False)])
+        others = chunks.filter(pc.invert(plain))
+        calls = (model.encode_batch_fast(others.slice(k, LEARN).to_pylist(), add_special_tokens=False) for k in range(0, len(others), LEARN))
+        rest = Pool.of([np.array(e.ids, "<u4").tobytes() for call in calls for e in call])
         sizes = np.zeros(len(chunks), np.int64)
         sizes[~mask] = rest.sizes
         if mask.any():

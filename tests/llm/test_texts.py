@@ -6,6 +6,8 @@ import math
 import random
 import re
 import struct
+import subprocess
+import sys
 import time
 import zlib
 
@@ -375,3 +377,21 @@ def test_masking(spark):
     texts = ["mail a.b@c.org or call +1 (017) 555-7713.", None, "nothing here", "🙂 1.2.3.4!"]
     got = {r.doc_id: r.text for r in pii.mask_pii(documents(spark, texts)).collect()}
     assert got == {0: "mail [EMAIL] or call [PHONE].", 1: None, 2: "nothing here", 3: "🙂 [IP]!"}
+
+
+def test_tokenising_new_words_takes_bounded_memory():
+    """12 MB of words that no worker has seen: the tokenizer gets them in bounded calls, and a worker forgets them again."""
+    code = """
+import random, resource, pyarrow as pa, public_tokenizers
+from lodestone.llm import packing
+rng = random.Random(5)
+texts = pa.array([" ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(2000)) for _ in range(600)])
+ids_of = packing.chunk_ids(public_tokenizers.path("word_bpe_49k.json"))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+step = max(1, packing.SLICE * len(texts) // texts.nbytes)
+n = sum(len(ids) for k in range(0, len(texts), step) for ids in packing.token_ids(texts.slice(k, step), ids_of))
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    n, grown = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert n >= 1_200_000
+    assert grown < 600

@@ -335,6 +335,37 @@ def test_small_buckets_give_only_pairs_that_signatures_allow(spark):
     assert got == [(i, i + 1) for i in range(0, 300, 2)]
 
 
+def test_lines_of_common_words_share_no_buckets(spark, monkeypatch):
+    """Prose of few words without copies: lines have many pairs of shingles in common and no passage, so they meet nowhere."""
+    rng = random.Random(17)
+    texts = [" ".join(words(rng, rng.randrange(40, 80), 60)) for _ in range(3000)]
+    rows, real = [], line_dedup.materialise
+
+    def materialise(df, name):
+        made = real(df, name)
+        rows.append(made.count() if name in ("buckets", "pairs") else 0)
+        return made
+
+    monkeypatch.setattr(line_dedup, "materialise", materialise)
+    assert line_dedup.dedup_lines(documents(spark, texts)).where("n_dropped > 0").isEmpty()
+    assert sum(rows) < 100
+
+
+def test_lines_of_any_length_and_script_are_looked_up(spark):
+    """Near copies of 5 to 120 characters, with blanks and without, repeated patterns of different lengths: as by brute force."""
+    rng = random.Random(18)
+    letters, texts = "abcdefghij" + "абвгдежз" + "日本語の行", []
+    for n in [*range(5, 40), *range(40, 121, 4)] * 2:
+        line = "".join(rng.choice(letters + " " * (4 * (n % 2))) for _ in range(n))
+        near = n // 10
+        texts += [line, line + "".join(rng.choice(letters) for _ in range(near)), line[near // 2 :] + "#", line[: n // 2] + "~" + line[n // 2 + 1 :]]
+    texts += [x * n for x in ("-", "=-", "no yes ", "abcdefghijkl mnopqrstuv") for n in (8, 30, 70, 200)]
+    rng.shuffle(texts)
+    want = brute_lines(texts)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, texts)).collect()}
+    assert sum(got[i] != want[i] for i in range(len(texts))) <= 2
+
+
 def test_line_dedup_keeps_columns_of_any_name(spark):
     rows = [(1, "one line here", "a", 1), (2, "one line here", "b", 2)]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, gone_id string, Gone_Places int"))

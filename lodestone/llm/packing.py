@@ -30,11 +30,11 @@ WORTH = 0.001
 #: Blocks of rows that a task packs together from the second level on, where only underfull sequences' pieces are left.
 WIDER = 8
 #: Bytes of texts that are tokenised at once, unless one text has more, and chunks whose ids are gathered at once.
-SLICE, GATHER = 4 << 20, 1 << 20
-#: Words of which a worker remembers the ids, and the longest that it remembers.
-CACHE, CACHE_CHARS = 250_000, 64
+SLICE, GATHER = 6 << 20, 1 << 20
+#: Words of which a worker remembers the ids, those used last and as many used before them, and the longest that it remembers.
+CACHE, CACHE_CHARS = 200_000, 64
 #: New words, and chunks that aren't plain, that go to the tokenizer in one call: what it gives for each takes far more memory than its ids.
-LEARN = 2048
+LEARN = 4096
 #: Characters that normalisation leaves alone but for lower case, the same in Python and in the tokenizer.
 PLAIN = r"^[\x{21}-\x{7E}\x{A1}-\x{12F}\x{131}-\x{17F}]+$"
 #: The tokenizer's own split of such text into words.
@@ -74,6 +74,7 @@ def chunk_ids(tokenizer: str) -> Callable[[pa.Array], Pool]:
     specials = [x.content for x in model.get_added_tokens_decoder().values()]
     words_of = regex.compile(f"{WORDS}| ").findall
     known: dict[str, bytes] = {}
+    before: dict[str, bytes] = {}
 
     def learn(words: list[str]) -> dict[str, bytes]:
         found = model.encode(" ".join(words), add_special_tokens=False)
@@ -82,8 +83,10 @@ def chunk_ids(tokenizer: str) -> Callable[[pa.Array], Pool]:
         return {w: ids[a:b] for w, a, b in zip(words, [0, *ends], ends)}
 
     def of_words(words: list[str]) -> list[bytes]:
+        nonlocal known, before
         if len(known) > CACHE:
-            known.clear()
+            known, before = {}, known
+        known |= {w: before[w] for w in words if w in before}
         unseen, new = [w for w in words if w not in known and w != " "], {}
         for k in range(0, len(unseen), LEARN):
             new |= learn(unseen[k : k + LEARN])

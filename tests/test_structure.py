@@ -198,6 +198,16 @@ def test_without_labels_a_title_page_is_told_by_words(reports):
     assert reports["heuristic"]["preservation.contentLoss"].severity == "critical"
 
 
+def test_formatting_is_checked_in_all_of_a_body(spark):
+    """What is wrong with the last of many paragraphs counts, in one of plain text as in a quote."""
+    good, bad = p("Some words.", JUST, SPOILED["text.fontSize"]["run"].replace("26", "28")), p("Some words.", JUST.replace("360", "240").replace("709", "0").replace("both", "left"), '<w:rFonts w:ascii="Arial"/><w:sz w:val="26"/>')
+    files = spark.createDataFrame([("a", package(good * 119 + bad, styles=None))], "path string, content binary")
+    labels = spark.createDataFrame([("a", i, "quote" if i % 2 else "body_text") for i in range(120)], "key string, idx int, block_type string")
+    read = dc.read_structure(markup.file_elements(files))
+    found = {r.check_id: (r.n_evaluated, r.bad_count) for r in dc.run_document_checks(read, read, labels).collect()}
+    assert {found[f"text.{k}"] for k in ("fontFamily", "fontSize", "lineSpacing", "firstLineIndent", "alignment")} == {(120, 1)}
+
+
 def test_markdown_of_a_document(spark):
     e = elements(spark, p("Title", '<w:pStyle w:val="Heading1"/>') + TABLE.replace("wide", "a|b") + p("x <m> y".replace("<m>", "&lt;m&gt;"), more="<m:oMath xmlns:m='m'/>") + p(""))
     runs = st.with_effective_values(st.run_rows(e), st.style_values(e))

@@ -296,6 +296,22 @@ def test_secrets_are_judged_over_all_characters(spark):
     assert not any(got[len(labelled) + i] for i in range(len(plain)))
 
 
+def test_secrets_are_learned_from_all_values(spark):
+    """A format counts whose labelled values are few among very many of its kind, or are long."""
+    rng = random.Random(12)
+    many = [f"token = {run_of(rng, '0123456789', 12)}{run_of(rng, 'ghijklmnop', 12)}" for _ in range(3000)]
+    few, long = [lambda: "ghp_" + run_of(rng, ALNUM, 36), lambda: run_of(rng, ALNUM[:26] + ALNUM[52:], 600)]
+    plain = [run_of(rng, "etaoinshrdlu", rng.randrange(16, 40)) for _ in range(600)]
+    labelled = [f"secret: {m()}" for m in (few, long) for _ in range(100)]
+    unseen = [m() for m in (few, long) for _ in range(20)]
+    values = secrets.labelled(secrets.scanned(documents(spark, many + labelled))).where("kind = 'assign'")
+    assert values.count() == 3200 and values.where("length(value) = 600").count() == 100
+    got = {r.doc_id: [s.value for s in r.spans if s.kind == secrets.FOUND] for r in secrets.find_secrets(documents(spark, many + labelled + plain + unseen)).collect()}
+    first = len(many) + len(labelled) + len(plain)
+    caught = [got[first + i] == [u] for i, u in enumerate(unseen)]
+    assert sum(caught[:20]) >= 18 and sum(caught[20:]) >= 18 and not any(got[i] for i in range(first))
+
+
 PII_KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

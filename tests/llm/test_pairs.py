@@ -323,6 +323,27 @@ def test_large_groups_of_near_lines_need_few_comparisons_of_texts(spark, monkeyp
     assert sum(compared) < 20 * len(texts)
 
 
+def test_large_buckets_deal_out_only_lines_outside_their_main_component(spark, monkeypatch):
+    """Of a bucket of 600 lines 6 belong to other components: these meet all lines, the others don't meet each other."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 64)
+    minima, outside = list(range(12)), {7, 100, 101, 300, 450, 599}
+    lines = spark.createDataFrame([(i, minima) for i in range(600)], "line_id long, minima array<int>")
+    components = {i: i // 2 + 1 if i in outside else 0 for i in range(600)}
+    apart = spark.createDataFrame(list(components.items()), "line_id long, component long")
+    buckets = lines.select(F.lit(1).alias("key"), "line_id").withColumn("n", F.lit(600))
+    packed = line_dedup.materialise(line_dedup.in_blocks(buckets, apart, lines), "blocks")
+    want = {(i, j) for j in range(600) for i in range(j) if components[i] != components[j]}
+    got = [tuple(r) for r in line_dedup.within_large(packed).collect()]
+    assert set(got) == want and len(got) == len(want)
+    monkeypatch.setattr(line_dedup, "pairs_of", lambda left, right, near: F.array(F.struct(F.size(left).alias("a"), F.size(right).alias("b"))))
+    met = line_dedup.within_large(packed).agg(F.max("a"), F.max("b")).first()
+    assert met[0] <= len(outside) < met[1]
+
+
+def test_keys_of_lines_are_kept_no_longer_than_needed(spark):
+    assert "keys" not in line_dedup.fuzzy_line_groups(documents(spark, ["a line of some length", "another one"]))[0].columns
+
+
 def test_small_buckets_give_only_pairs_that_signatures_allow(spark):
     """Lines that share a band and little else leave no rows, however many share it; links in the same buckets do."""
     common, lines = [1, 2], []

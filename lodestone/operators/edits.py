@@ -35,6 +35,10 @@ def _with_errors(texts: DataFrame, errors: DataFrame) -> DataFrame:
     return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[found[c].alias(c) for c in ("offset", "length", "id", "fix")])
 
 
+#: Rows of texts with their errors: lists of offsets, lengths, ids and first replacements.
+WITH_ERRORS = {"doc_id": pa.int64(), "text": pa.string(), "offset": pa.list_(pa.int32()), "length": pa.list_(pa.int32()), "id": pa.list_(pa.int64()), "fix": pa.list_(pa.string())}
+
+
 def corrected(texts: DataFrame, errors: DataFrame) -> DataFrame:
     """doc_id, text, applied: each text with the first replacement of each error that has one.
 
@@ -42,6 +46,11 @@ def corrected(texts: DataFrame, errors: DataFrame) -> DataFrame:
     smaller id), as in ``segments``; errors beyond the text's end or with a negative offset count for nothing, an empty one
     inserts. A text is cut once, in the order of offsets. ``errors``: doc_id, offset, length, id, replacements. A null text is empty.
     """
+    return corrected_rows(_with_errors(texts, errors))
+
+
+def corrected_rows(rows: DataFrame) -> DataFrame:
+    """``corrected`` for texts whose errors lie in the same row (``WITH_ERRORS``): nothing is shuffled."""
 
     def run(doc_id: int, text: str, *found: list) -> Iterator[tuple]:
         pieces, end, applied = [], 0, 0
@@ -51,7 +60,7 @@ def corrected(texts: DataFrame, errors: DataFrame) -> DataFrame:
                 end, applied = till, applied + 1
         yield doc_id, "".join([*pieces, text[end:]]), applied
 
-    return mapped(_with_errors(texts, errors), run, {"doc_id": pa.int64(), "text": pa.string(), "applied": pa.int32()})
+    return mapped(rows, run, {"doc_id": pa.int64(), "text": pa.string(), "applied": pa.int32()})
 
 
 SEGMENTS = {"doc_id": pa.int64(), "part": pa.int32(), "start": pa.int32(), "end": pa.int32(), "error": pa.int64(), "text": pa.string()}
@@ -62,6 +71,11 @@ def segments(texts: DataFrame, errors: DataFrame) -> DataFrame:
 
     Which errors stand is as in ``corrected``. An empty text has no segment.
     """
+    return segment_rows(_with_errors(texts, errors))
+
+
+def segment_rows(rows: DataFrame) -> DataFrame:
+    """``segments`` for texts whose errors lie in the same row (``WITH_ERRORS``): nothing is shuffled."""
 
     def cut(text: str, found: tuple) -> Iterator[tuple]:
         end = 0
@@ -76,7 +90,7 @@ def segments(texts: DataFrame, errors: DataFrame) -> DataFrame:
     def run(doc_id: int, text: str, *found: list) -> Iterator[tuple]:
         yield from ((doc_id, k, a, b, error, text[a:b]) for k, (a, b, error) in enumerate(cut(text, found)))
 
-    return mapped(_with_errors(texts, errors), run, SEGMENTS)
+    return mapped(rows, run, SEGMENTS)
 
 
 # --- Edit logs over ordered rows --------------------------------------------------------------------------------------

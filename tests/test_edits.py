@@ -144,3 +144,12 @@ def test_anchors_take_lines_once_and_orphans_go_to_the_end(spark):
         "", edits.ORPHANS, "", "| 1.2 |", "|---|", "", "| 1.3 |", "|---|",
     ]
     assert [r.text for r in got.where("doc_id = 2").orderBy("idx").collect()] == ["nothing here", "", edits.ORPHANS, "", "| 2.0 |", "|---|"]
+
+
+def test_errors_of_words_are_dealt_and_cut_within_rows(spark):
+    """The queries whose errors follow from each text shuffle nothing."""
+    import __spark_entry__ as entry
+
+    for name in ("x1_corrections_applied", "x3_plain_and_error_spans"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan, name

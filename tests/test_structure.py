@@ -235,6 +235,23 @@ def test_documents_are_parsed_once(spark):
         assert "MapInArrow" not in plan, name
 
 
+def test_originals_are_read_as_texts_and_lists_collected_by_sorting(spark, monkeypatch):
+    """Of an original only texts are looked at, not runs with their properties; no written step hashes lists."""
+    from lodestone.plans import package
+    from lodestone.sources import shared
+    from lodestone.sources.tables import table
+    from types import SimpleNamespace
+
+    asked, real = [], dc._paragraph_counts
+    monkeypatch.setattr(dc, "_paragraph_counts", lambda *a: asked.append(a) or real(*a))
+    by_hash = spark.conf.get(shared.BY_HASH, "true")
+    settings, write = [], package.materialise
+    monkeypatch.setattr(package, "materialise", lambda df, name, small_groups=False: settings.append((name, small_groups)) or write(df, name, small_groups))
+    package.checked(SimpleNamespace(documents=table(spark, "/root/testdata/sf0.001", "documents").limit(20)))
+    assert len(asked) == 1 and settings == [(name, True) for name in ("formatted", "paragraphs", "before", "checks")]
+    assert spark.conf.get(shared.BY_HASH, "true") == by_hash
+
+
 def test_runs_in_nested_wrappers_are_own(spark):
     e = elements(spark, "<w:p><w:ins><w:hyperlink><w:r><w:rPr><w:b/></w:rPr><w:t>in</w:t></w:r></w:hyperlink></w:ins><w:sdt><w:r><w:t>out</w:t></w:r></w:sdt></w:p>")
     runs = {r.text: (r.own, r.direct, r.bold) for r in st.run_rows(e).where("r is not null").collect()}
